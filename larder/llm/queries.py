@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.llm.content_sort import content_sort
 from larder.llm.minhash import near_duplicates
+from larder.llm.ring import ring_shards
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +19,24 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle_words=4, percent=80)
 
 
+def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort(_documents(spark, sf_dir))
+
+
+def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_shards(_documents(spark, sf_dir), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+    "op3_content_sort": op3_content_sort,
+    "op5_bounded_ring": op5_bounded_ring,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_content_sort": r"""
+        with n as (select doc_id, length(coalesce(text, '')) as n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+        k as (select doc_id, norm, first_value(doc_id) over (partition by norm order by n_cp desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from n)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from k""",
+}
