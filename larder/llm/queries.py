@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.llm.content_sort import content_sort
 from larder.llm.minhash import near_duplicates
+from larder.llm.pii import PATTERNS, find_personal_data, spans_text
 from larder.llm.ring import ring_shards
 
 
@@ -27,10 +29,17 @@ def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(_documents(spark, sf_dir), shards=40)
 
 
+def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "terms")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op3_content_sort": op3_content_sort,
     "op5_bounded_ring": op5_bounded_ring,
+    "op6_disclosure_pii": op6_disclosure_pii,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
