@@ -11,6 +11,7 @@ from larder.llm.content_sort import content_sort
 from larder.llm.minhash import near_duplicates
 from larder.llm.pii import PATTERNS, find_personal_data, spans_text
 from larder.llm.ring import ring_shards
+from larder.llm.substrings import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_documents(spark, sf_dir))
 
 
+def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), window=50, with_text=False).drop("kept_text")
+
+
 def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(_documents(spark, sf_dir), shards=40)
 
@@ -38,6 +43,7 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op3_content_sort": op3_content_sort,
+    "op4_suffix_automata": op4_suffix_automata,
     "op5_bounded_ring": op5_bounded_ring,
     "op6_disclosure_pii": op6_disclosure_pii,
 }
