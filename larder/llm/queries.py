@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.content_sort import content_sort
 from larder.llm.minhash import near_duplicates
+from larder.llm.packing import pack
 from larder.llm.pii import PATTERNS, find_personal_data, spans_text
 from larder.llm.ring import ring_shards
 from larder.llm.substrings import remove_repeats
+from larder.llm.toxicity import fold, score, train
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +44,24 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "terms")).alias("spans"))
 
 
+def op8_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0)
+
+
+def op9_subword_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).withColumn("held_out", fold() == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op3_content_sort": op3_content_sort,
     "op4_suffix_automata": op4_suffix_automata,
     "op5_bounded_ring": op5_bounded_ring,
     "op6_disclosure_pii": op6_disclosure_pii,
+    "op8_best_fit_decreasing": op8_best_fit_decreasing,
+    "op9_subword_bags": op9_subword_bags,
 }
 
 #: DuckDB SQL by query, where SQL can express it.

@@ -36,6 +36,11 @@ _LOWER = _PLAIN.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _PLAIN[ord("a") : ord("z") + 1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash's base and of its inverse."""
+    return _powers(1 << max(16, int(n - 1).bit_length()))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -66,8 +71,7 @@ def words_of(texts: list[bytes], lower: bool = False) -> Words:
     turn = np.flatnonzero(space[1:] != space[:-1]) + 1
     turn = np.concatenate([[0], turn]) if not space[0] else turn
     starts, ends = turn[0::2], turn[1::2]
-    size = 1 << max(16, int(len(buf) - 1).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = powers(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_LOWER if lower else _PLAIN)[buf] * power[: len(buf)], dtype=np.uint64, out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
