@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.chroma import search, with_recordings
 from larder.llm.content_sort import content_sort
+from larder.llm.gumbel import sampled_segmentations
 from larder.llm.minhash import near_duplicates
 from larder.llm.packing import pack
+from larder.llm.patience import scan_licenses
 from larder.llm.pii import PATTERNS, find_personal_data, spans_text
 from larder.llm.ring import ring_shards
 from larder.llm.substrings import remove_repeats
@@ -25,6 +28,12 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle_words=4, percent=80)
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["conv_id", "turn"]
+    recordings = with_recordings(spark.read.parquet(f"{sf_dir}/conversations.parquet"), keys)
+    return search(recordings, keys, F.col("conv_id") % 20 == 0)
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_documents(spark, sf_dir))
 
@@ -44,6 +53,12 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "terms")).alias("spans"))
 
 
+def op7_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = sampled_segmentations(turns, public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"], k=3)
+    return found.select("conv_id", "turn", F.posexplode("samples").alias("nth", "s")).select("conv_id", "turn", "nth", F.col("s.ids").alias("ids"), F.col("s.log_prob").alias("log_prob"), F.col("s.perturbed").alias("perturbed"), F.col("s.inclusion").alias("inclusion"))
+
+
 def op8_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0)
 
@@ -54,14 +69,21 @@ def op9_subword_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumn("held_out", fold() == 0)
 
 
+def op10_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+    "op2_chroma_fingerprints": op2_chroma_fingerprints,
     "op3_content_sort": op3_content_sort,
     "op4_suffix_automata": op4_suffix_automata,
     "op5_bounded_ring": op5_bounded_ring,
     "op6_disclosure_pii": op6_disclosure_pii,
+    "op7_gumbel_top_k": op7_gumbel_top_k,
     "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_subword_bags": op9_subword_bags,
+    "op10_patience_licenses": op10_patience_licenses,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
