@@ -5,9 +5,11 @@ share a band key are candidates. The same samples are folded into an Odd sketch,
 two sketches keeps only the samples that differ, so its population count estimates high similarities precisely
 without touching the sets. What the sketch leaves is confirmed on the full sets.
 
-No bucket is expanded into all its pairs. Each member is first tried against the smallest member of a bucket it
-shares, links are joined into components, and after that only pairs of *different* components are looked at: first
-the remaining bucket centres, then, exactly and for every bucket, whatever pairs the sketch still allows.
+No bucket is expanded into all its pairs. Members are tried against the smallest and largest member of their buckets,
+and sketches that agree make families. Within a family each document is confirmed against its most similar centre,
+which joins most of it into components; what is left to tell is whether *different* components of one family are
+linked. Their members' sets are dealt out in blocks of bounded size, pairs of blocks are compared by matrix products
+inside a task, and only links that join two components come out.
 """
 
 from __future__ import annotations
@@ -136,6 +138,75 @@ def _candidates(pairs: DataFrame, known: DataFrame, percent: int, most: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (_differing("sa", "sb") <= most)).select("a", "b", _differing("sa", "sb").alias("far"))
 
 
+#: A block holds about so many members, or so many shingles if that is less.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 128, 200_000
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join different roots of one family; members has (id, family, root, n_shingles, sketch).
+
+    A root with a block's worth of members has blocks of its own, and blocks of one root are not compared. The others
+    share mixed blocks.
+    """
+    per_root = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    parted = per_root.groupBy("family").agg(F.count("*").alias("roots")).where("roots > 1").select("family")
+    per_root = per_root.join(parted, "family", "left_semi").withColumn("own", F.when(F.col("n") >= BLOCK_MEMBERS, F.col("root")).otherwise(F.lit(-1)))
+    open_members = members.join(per_root.select("family", "root", "own"), ["family", "root"])
+    sizes = open_members.groupBy("family", "own").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = scratch.put(sizes, "sizes")
+    block = sizes.select("family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    x, y = block.toDF("family", "ox", "x"), block.toDF("family", "oy", "y")
+    ordered = (F.col("ox") < F.col("oy")) | ((F.col("ox") == -1) & (F.col("oy") == -1) & (F.col("x") <= F.col("y")))
+    met = scratch.put(x.join(y, "family").where(ordered).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = met.select("family", F.col("ox").alias("own"), F.col("x").alias("block"), "pair").union(met.select("family", F.col("oy").alias("own"), F.col("y").alias("block"), "pair")).distinct()
+    dealt = open_members.join(sizes, ["family", "own"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sides, ["family", "own", "block"])
+    dealt = dealt.select("pair", "id", "root", "n_shingles", "sketch").join(sets, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, root, n = (group.column(c).to_numpy() for c in ("id", "root", "n_shingles"))
+        sketch = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        open_pairs = root[:, None] < root[None, :]
+        open_pairs &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+        far = np.zeros(open_pairs.shape, np.int32)
+        for w in range(_LONGS):
+            far += np.bitwise_count(sketch[:, None, w] ^ sketch[None, :, w])
+        open_pairs &= far <= most
+        used = np.flatnonzero(open_pairs.any(axis=0) | open_pairs.any(axis=1))
+        found: list[tuple[int, int]] = []
+        if len(used):
+            lists = group.column("shingles").take(pa.array(used)).combine_chunks()
+            items, where = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            row = np.repeat(np.arange(len(used)), n[used])
+            twice = np.bincount(where, minlength=len(items)) > 1
+            place = np.cumsum(twice) - 1
+            row, where = row[twice[where]], place[where[twice[where]]]
+            common = np.zeros((len(used), len(used)), np.float32)
+            order = np.argsort(where, kind="stable")
+            row, where = row[order], where[order]
+            for lo in range(0, int(twice.sum()), 4096):
+                at, to = np.searchsorted(where, [lo, lo + 4096])
+                held = np.zeros((len(used), 4096), np.float32)
+                held[row[at:to], where[at:to] - lo] = 1
+                common += held @ held.T
+            total = n[used][:, None] + n[used][None, :]
+            linked = open_pairs[np.ix_(used, used)] & (100 * common.astype(np.int64) >= percent * (total - common.astype(np.int64)))
+            parent: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while parent.get(r, r) != r:
+                    r = parent[r]
+                return r
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                a, b = find(int(root[used[i]])), find(int(root[used[j]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((max(a, b), min(a, b)))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept.
 
@@ -159,40 +230,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = scratch.put(copies, "classes")
     reps = features.join(copies.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
     banded = scratch.put(reps.select("id", F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    stars = banded.join(shared, "key").where("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("n_bands")).select("a", "b")
     known = scratch.put(reps.select("id", "n_shingles", "sketch"), "known")
+    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    banded = scratch.put(banded.join(shared, "key"), "shared")
+    stars = banded.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     stars = scratch.put(_candidates(stars, known, percent, most), "stars")
-
-    # Sets of those documents only that share a band with another.
-    members = banded.join(shared, "key", "left_semi").select("id").distinct()
-    sets = scratch.put(_sets(texts.join(members, "id", "left_semi").dropDuplicates(["id"]), shingle_words), "sets")
-
-    # One centre each, the most similar; then the other centres, where components still differ.
+    families = components(stars, scratch)
+
+    # Members of one bucket whose sketches agree although their centres' don't.
+    label = lambda roots, to: F.coalesce(roots["root"], to)
+    placed = banded.select("key", "id").join(families, "id", "left").select("key", "id", label(families, F.col("id")).alias("family"))
+    mixed = placed.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x < y").select("key")
+    apart = scratch.put(placed.join(mixed, "key", "left_semi").join(known, "id"), "apart")
+    side = lambda k: apart.select("key", F.col("id").alias(k), F.col("family").alias(f"f{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_differing("sa", "sb") <= most)
+    across = side("a").join(side("b"), "key").where((F.col("fa") < F.col("fb")) & alike).select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
+    families = components(families.select(F.col("id").alias("a"), F.col("root").alias("b")).union(across).union(across.select("a", "a")), scratch)
+    everyone = families.select("id", F.col("root").alias("family")).union(families.select("root", "root")).distinct()
+    everyone = scratch.put(everyone, "families")
+    scratch.drop(banded, apart)
+
+    # The most similar centre first, then blocks of what is still apart.
+    sets = scratch.put(_sets(texts.join(everyone.select("id"), "id", "left_semi").dropDuplicates(["id"]), shingle_words), "sets")
     best = stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = scratch.put(_confirmed(best, sets, percent), "links")
-    roots = components(links, scratch)
-    tried = [best]
-    for name in ("stars", "rest"):
-        labels = members.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-        if name == "stars":
-            pairs = stars.select("a", "b")
-        else:
-            labelled = banded.join(shared, "key", "left_semi").join(labels, "id")
-            mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-            rest = scratch.put(labelled.join(mixed, "key", "left_semi").join(known, "id"), "mixed")
-            side = lambda k: rest.select("key", F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-            sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            pairs = side("a").join(side("b"), "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & sized & (_differing("sa", "sb") <= most)).select("a", "b").distinct()
-        for done in tried:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        la, lb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
-        pairs = scratch.put(pairs.join(la, "a").join(lb, "b").where("ra <> rb").select("a", "b", "ra", "rb"), "pairs")
-        more = scratch.put(_confirmed(pairs, sets, percent), "links")
-        tried.append(pairs)
-        joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
-        roots = components(joined, scratch)
-    scratch.drop(sets, banded, stars)
+    roots = components(_confirmed(best, sets, percent), scratch)
+    members = everyone.join(roots, "id", "left").select("id", "family", F.coalesce("root", "id").alias("root")).join(known, "id")
+    links = _block_links(scratch.put(members, "members"), sets, percent, most, scratch)
+    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links), scratch)
+    scratch.drop(sets, stars)
 
     whole = copies.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     out = features.select("id", "n_shingles").join(whole, "id", "left")

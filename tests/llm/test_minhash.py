@@ -94,3 +94,18 @@ def test_odd_sketch_estimates():
 def test_shingle_sets_of_short_texts():
     sets, _ = shingle_sets([b"a b", b"", b"A B", b"a b c d e"], 4)
     assert [len(s) for s in sets] == [1, 0, 1, 2] and sets[0][0] == sets[2][0]
+
+
+def test_large_families_are_compared_in_blocks(spark, monkeypatch):
+    from larder.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 5)
+    rnd, rows = random.Random(6), []
+    base = [f"w{k}" for k in range(90)]
+    for i in range(90):
+        mine = base[:]
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6])):
+            mine[rnd.randrange(90)] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(mine)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
