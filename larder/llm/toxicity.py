@@ -3,7 +3,8 @@
 A word's vector is the mean of the embeddings of its character n-grams, so unseen misspellings share most of it. A
 bag is a run of a few words; its mean vector goes through a softmax over {clean, toxic}. Labels are of documents, so
 training alternates: each toxic document stands by its most toxic bags, each clean one by all its bags. A document
-scores by its most toxic bag, through a logistic scale fitted on the training documents.
+scores by its two most toxic bags, through a logistic scale fitted on the training documents and set to the share
+of toxic ones among all that are labelled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from larder.llm.words import chunked, powers, stream
 
-BITS, DIMENSIONS, SIZES, BAG, MIN_WORDS, DECAY = 18, 2, (3, 4, 5), 4, 3, 1e-5
+BITS, DIMENSIONS, SIZES, BAG, MIN_WORDS, DECAY = 18, 2, (3, 4, 5), 4, 3, 3e-6
+#: A text scores by so many of its most toxic bags; a toxic text stands by this share of its bags in training.
+TOP_BAGS, SHARE = 2, 0.06
 #: Bounds of the sample that the classifier is fitted on: documents by label, and characters of one.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,8 +116,11 @@ def _bag_means(values: np.ndarray, bags: Bags) -> np.ndarray:
     return sums / (n if values.ndim == 1 else n[:, None])
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 40, rate: float = 0.1, decay: float = DECAY, seed: int = 7) -> Model:
-    """A model of labelled texts; texts without words are left out. With one label only it says that label."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60, rate: float = 0.1, decay: float = DECAY, seed: int = 7, toxic_share: float | None = None) -> Model:
+    """A model of labelled texts; texts without words are left out. With one label only it says that label.
+
+    toxic_share is the share among all labelled texts, where the sample's own is another.
+    """
     bags = bags_of(texts)
     share = float(toxic.mean()) if len(toxic) else 0.0
     rng = np.random.default_rng(seed)
@@ -159,16 +165,39 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 40, r
                 v += 0.01 * (grad * grad - v)
                 param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
         margin = (_bag_means(word_vectors(), bags) @ weights + bias) @ np.array([-1.0, 1.0])
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, bags.text, margin)
-        stands = (label == 0) | (margin >= best[bags.text] - 1e-12)
+        place, size = _places(margin, bags.text)
+        stands = (label == 0) | (place < np.maximum(TOP_BAGS, SHARE * size))
+    best = _text_margins(margin, bags.text, len(texts))
     seen = np.isfinite(best)
     full = np.zeros((1 << BITS, DIMENSIONS))
     full[columns] = table
     scale, shift = _logistic(best[seen], toxic[seen].astype(float))
+    if toxic_share is not None:
+        odds = lambda p: np.log(p / (1 - p))
+        shift += float(odds(np.clip(toxic_share, 0.01, 0.99)) - odds(np.clip(toxic[seen].mean(), 0.01, 0.99)))
     return Model(full, weights, bias, scale, shift)
 
 
+def _places(margin: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each bag among those of its text, from 0 for the largest margin, and the number of them."""
+    order = np.lexsort((-margin, text))
+    new = np.concatenate([[True], text[order][1:] != text[order][:-1]])
+    starts = np.flatnonzero(new)
+    nth = np.arange(len(order)) - starts[np.cumsum(new) - 1]
+    place = np.empty(len(order), np.int64)
+    place[order] = nth
+    return place, np.bincount(text)[text]
+
+
+def _text_margins(margin: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Mean margin of each text's TOP_BAGS most toxic bags, or of all if it has fewer; -inf without any."""
+    place, _ = _places(margin, text)
+    top = place < TOP_BAGS
+    count = np.bincount(text[top], minlength=n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(count > 0, np.bincount(text[top], margin[top], n) / count, -np.inf)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and shift of a logistic curve over one margin, by Newton steps on standardised values."""
     mean, spread = x.mean(), x.std() + 1e-9
@@ -194,7 +223,7 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
             grams, fits = _grams(bags, n)
             sums += np.add.reduceat(by_gram[grams] * fits, bags.starts)
             counts += np.add.reduceat(fits.astype(float), bags.starts)
-        np.maximum.at(margin, bags.text, _bag_means(sums / counts, bags) + model.bias[1] - model.bias[0])
+        margin = _text_margins(_bag_means(sums / counts, bags) + model.bias[1] - model.bias[0], bags.text, len(texts))
     seen = np.isfinite(margin)
     out[seen] = 1 / (1 + np.exp(-np.clip(model.scale * margin[seen] + model.shift, -30, 30)))
     return out
@@ -215,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = F.broadcast(drawn[0].union(drawn[1]).toDF("__id", "__toxic"))  # at most MAX_TOXIC + MAX_CLEAN rows
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text").between(1, MAX_CHARS))
     rows = sorted(texts.join(sample, "__id").dropDuplicates(["__id"]).collect())
-    return fit([r["__text"] for r in rows], np.array([r["__toxic"] for r in rows], np.int64))
+    share = known.agg(F.avg("toxic")).first()[0]
+    return fit([r["__text"] for r in rows], np.array([r["__toxic"] for r in rows], np.int64), toxic_share=share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
