@@ -24,8 +24,8 @@ from larder.llm.automaton import SuffixAutomaton
 from larder.llm.scratch import Scratch
 from larder.llm.words import chunked, digest, grams, mix, words_of
 
-#: Words of the grams that name a window.
-GRAM = 16
+#: Words of the grams that name a window; where too many passages share a name, longer grams name them anew.
+GRAM, LONG_GRAM = 16, 40
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,8 +82,15 @@ def _scan(window: int, gram: int):
     return run
 
 
-def _passages(window: int):
-    """Rows (key, passage, id, th, start, n) of a document's shared runs; crowded names give a key for each window."""
+def _passages(window: int, long_gram: int):
+    """Rows (key, passage, id, th, starts, n) of a document's shared runs; a passage that it repeats is one row.
+
+    A run's level says how its key is made: 0 its name, 1 the names of longer grams in it, 2 each window by itself.
+    """
+
+    def fingerprint(whole: np.ndarray) -> int:
+        """Of the windows' hashes in order, so of all words of a passage."""
+        return int(mix(whole.view(np.uint64) * np.arange(3, 2 * len(whole) + 3, 2, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +101,22 @@ def _passages(window: int):
                 for k, (i, _, th, runs) in enumerate(some):
                     own = words.hashes[words.first[k] : words.first[k + 1]]
                     whole = grams(own, window).view(np.int64)
+                    held: dict[tuple, list[int]] = {}
                     for r in runs:
-                        s, n = r["start"], r["n"]
-                        if r["crowded"]:
-                            out.extend((int(h), int(h), i, th, s + d, 1) for d, h in enumerate(whole[s : s + n]))
-                        else:
-                            h = int(mix(whole[s : s + n].view(np.uint64) * np.arange(3, 2 * n + 3, 2, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-                            out.append((r["name"], h, i, th, s, n))
+                        n, level = r["n"], r["level"]
+                        for s in r["starts"]:
+                            if level == 0:
+                                held.setdefault((r["name"], fingerprint(whole[s : s + n]), n), []).append(s)
+                            elif level == 1:
+                                for name, d, m in zip(*(x.tolist() for x in named_runs(own[s : s + n + window - 1], window, long_gram)), strict=True):
+                                    held.setdefault((name, fingerprint(whole[s + d : s + d + m]), m), []).append(s + d)
+                            else:
+                                for d, h in enumerate(whole[s : s + n].tolist()):
+                                    held.setdefault((h, h, 1), []).append(s + d)
+                    out += [(key, passage, i, th, starts, n) for (key, passage, n), starts in held.items()]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], names=["key", "passage", "id", "th", "start", "n"])
+                    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "passage", "id", "th", "starts", "n"])
 
     return run
 
@@ -163,8 +177,9 @@ def _cut(window: int):
                 for f in found:
                     for d, first in enumerate(f["firsts"] if f["firsts"] is not None else [f["first_id"]] * f["n"]):
                         if first < i:
-                            gone[f["start"] + d] += 1
-                            gone[f["start"] + d + window] -= 1
+                            for s in f["starts"]:
+                                gone[s + d] += 1
+                                gone[s + d + window] -= 1
                 keep = np.cumsum(gone)[:-1] == 0
                 kept = [w for w, k in zip(words, keep, strict=True) if k]
                 out.append((i, th, len(words) - len(kept), sha256_of(kept), b" ".join(kept).decode()))
@@ -174,7 +189,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, crowd: int = 400, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, crowd: int = 3000, with_text: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256, and kept_text of documents that lost words.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Every word goes that is covered by ``window`` consecutive words which
@@ -183,7 +198,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words. Texts are read whole. Rows that share an id never remove from each other; a
     null id is neither reference nor judged. Other columns of docs are ignored, whatever their names; an empty table
-    gives an empty result. A name with more than ``crowd`` runs is judged window by window, which is exact as well.
+    gives an empty result. Names
+    of more than ``crowd`` runs are told apart by longer grams, and at last window by window, which is exact as well.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     gram = min(GRAM, window)
@@ -196,13 +212,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = long.join(rep.withColumnRenamed("rep", "id"), ["id", "c0", "c1"], "left_semi")
     runs = long.select("id", "th", F.explode(F.arrays_zip("names", "starts", "lengths")).alias("r"))
     runs = scratch.put(runs.select("id", "th", F.col("r.names").alias("name"), F.col("r.starts").alias("start"), F.col("r.lengths").alias("n")), "runs")
-    shared = runs.groupBy("name").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("times")).where("x < y").select("name", (F.col("times") > crowd).alias("crowded"))
-    mine = runs.join(shared, "name").groupBy("id", "th").agg(F.collect_list(F.struct("name", "start", "n", "crowded")).alias("runs"))
+    shared = runs.groupBy("name").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("times")).where("x < y").select("name", (F.col("times") > crowd).cast("int").alias("level"))
+    mine = runs.join(shared, "name").groupBy("id", "th").agg(F.collect_list(F.struct("name", F.array("start").alias("starts"), "n", "level")).alias("runs"))
     candidates = scratch.put(texts.join(mine, ["id", "th"]).dropDuplicates(["id", "th"]), "candidates")
     scratch.drop(runs)
 
-    passages = scratch.put(candidates.select("id", "text", "th", "runs").mapInArrow(_passages(window), "key long, passage long, id long, th long, start int, n int"), "passages")
-    firsts = passages.groupBy("key", "passage").agg(F.min(F.struct("id", "th", "start")).alias("x"), F.first("n").alias("n"))
+    keyed = "key long, passage long, id long, th long, starts array<int>, n int"
+    passages = scratch.put(candidates.select("id", "text", "th", "runs").mapInArrow(_passages(window, max(gram, min(LONG_GRAM, window))), keyed), "passages")
+
+    # Names under which too many different passages are left: window by window.
+    variants = passages.groupBy("key", "passage").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("passages")).where(F.col("passages") > crowd).select("key")
+    crowded = scratch.put(passages.join(variants, "key"), "crowded")
+    again = crowded.groupBy("id", "th").agg(F.collect_list(F.struct(F.col("key").alias("name"), "starts", "n", F.lit(2).alias("level"))).alias("runs"))
+    windows = candidates.select("id", "text", "th").join(again, ["id", "th"]).mapInArrow(_passages(window, gram), keyed)
+    passages = scratch.put(passages.join(crowded.select("key").distinct(), "key", "left_anti").union(windows), "passages")
+    firsts = passages.groupBy("key", "passage").agg(F.min(F.struct("id", "th", F.array_min("starts").alias("start"))).alias("x"), F.first("n").alias("n"))
     firsts = scratch.put(firsts.select("key", "passage", F.col("x.id").alias("first_id"), F.col("x.th").alias("th"), F.col("x.start").alias("start"), "n"), "firsts")
     many = firsts.groupBy("key").agg(F.count("*").alias("passages")).where("passages > 1").select("key")
     asked = firsts.join(many, "key", "left_semi").groupBy(F.col("first_id").alias("id"), "th").agg(F.collect_list(F.struct("key", "passage", "first_id", "start", "n")).alias("held"))
@@ -211,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     answers = firsts.select("key", "passage", "first_id").join(judged, ["key", "passage"], "left")
     losing = passages.join(answers, ["key", "passage"]).where(F.when(F.col("firsts").isNull(), F.col("first_id") < F.col("id")).otherwise(F.exists("firsts", lambda f: f < F.col("id"))))
-    found = losing.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "first_id", "firsts")).alias("found"))
+    found = losing.groupBy("id", "th").agg(F.collect_list(F.struct("starts", "n", "first_id", "firsts")).alias("found"))
     cut = candidates.select("id", "th", "text").join(found, ["id", "th"]).mapInArrow(_cut(window), "id long, th long, n_removed long, kept_sha256 string, kept_text string")
     cut = scratch.put(cut if with_text else cut.withColumn("kept_text", F.lit(None).cast("string")), "cut")
     scratch.drop(candidates, passages)

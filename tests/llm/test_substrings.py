@@ -53,7 +53,7 @@ def corpus(seed, docs, alphabet):
     return rows + [(5000, None), (5001, ""), (5002, "x " * 3000), (5003, "y x " + "x " * 2000), (5004, "x y " * 700), (5005, "z" * 40000)]
 
 
-@pytest.mark.parametrize(("seed", "crowd", "alphabet"), [(1, 400, 300), (2, 3, 300), (3, 400, 3), (4, 0, 40)])
+@pytest.mark.parametrize(("seed", "crowd", "alphabet"), [(1, 3000, 300), (2, 3, 300), (3, 3000, 3), (4, 0, 40)])
 def test_equals_brute_force(spark, seed, crowd, alphabet):
     rows = corpus(seed, 70, alphabet)
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect()
