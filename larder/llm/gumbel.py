@@ -43,28 +43,40 @@ class Vocabulary:
         total = math.log(sum(1 / (k + 10) for k in range(len(plain))))
         self.pieces = {model.id_to_piece(i): (i, -math.log(k + 10) - total) for k, i in enumerate(plain)}
         self.text = {i: p for p, (i, _) in self.pieces.items()}
-        self.longest = max(map(len, self.pieces), default=1)
+        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.bytes_of = {i: b for b, i in self.byte.items()}
         self.words: dict[str, list] = {}
 
-    def lattice(self, word: str) -> list[list[tuple[float, int, tuple[int, ...]]]]:
-        """By place: the edges from it, (log-probability given the place, next place, ids), heaviest first."""
+    def lattice(self, word: str) -> list[list[tuple[float, float, int, tuple[int, ...]]]]:
+        """By place: the edges from it, (cumulative probability, log-probability given the place, next place, ids)."""
         known = self.words.get(word)
         if known is not None:
             return known
-        n, mass, edges = len(word), [0.0] * (len(word) + 1), [[] for _ in word]
+        n, pieces, starts, exp = len(word), self.pieces, self.starts, math.exp
+        mass, edges = [0.0] * (n + 1), [[] for _ in word]
         for at in range(n - 1, -1, -1):
             found = []
-            for to in range(at + 1, min(n, at + self.longest) + 1):
-                piece = self.pieces.get(word[at:to])
+            for to in range(at + 1, n + 1):
+                part = word[at:to]
+                if part not in starts:
+                    break
+                piece = pieces.get(part)
                 if piece:
                     found.append((piece[1] + mass[to], to, (piece[0],)))
             if not found or found[0][1] != at + 1:
                 raw = word[at].encode("utf-8", "replace")
                 found.append((BYTE * len(raw) + mass[at + 1], at + 1, tuple(self.byte[b] for b in raw)))
-            top = max(w for w, _, _ in found)
-            mass[at] = top + math.log(sum(math.exp(w - top) for w, _, _ in found))
-            edges[at] = sorted(((w - mass[at], to, ids) for w, to, ids in found), key=lambda e: (-e[0], e[1]))
+            if len(found) == 1:
+                mass[at] = found[0][0]
+                edges[at] = [(1.0, 0.0, found[0][1], found[0][2])]
+                continue
+            found.sort(key=lambda e: (-e[0], e[1]))
+            top, below = found[0][0], 0.0
+            mass[at] = total = top + math.log(sum(exp(w - top) for w, _, _ in found))
+            for w, to, ids in found:
+                below += exp(w - total)
+                edges[at].append((below, w - total, to, ids))
+            edges[at][-1] = (math.inf, *edges[at][-1][1:])
         if len(self.words) < KEPT:
             self.words[word] = edges
         return edges
@@ -101,34 +113,46 @@ def sample(text: str, vocab: Vocabulary, k: int, seed: int) -> list[tuple[list[i
     serial, done = 0, []
     while best_nodes and len(done) < k:
         minus, _, phi, unit, place, path = best_nodes.pop(0)
+        steps: list[tuple[int, ...]] = []
         while unit < len(lattices):
             edges = lattices[unit][place]
             at = 0
             if len(edges) > 1:
-                left = rnd()
-                for at, (w, _, _) in enumerate(edges):  # noqa: B007
-                    left -= exp(w)
-                    if left < 0:
-                        break
                 full = len(best_nodes) > k
-                if phi + (best_nodes[-1][0] if full else math.inf) > -40:
-                    for j, (w, to, ids) in enumerate(edges):
-                        if j != at:
-                            x = log(-log(1 - rnd() or 1e-300)) - phi - w
-                            value = max(minus, x) + math.log1p(exp(-abs(minus - x)))  # -perturbed maximum of the sibling
-                            if not full or value < best_nodes[-1][0]:
-                                serial += 1
-                                last = to == len(lattices[unit])
-                                insort(best_nodes, (value, serial, phi + w, unit + last, 0 if last else to, (path, ids)))
-                                del best_nodes[k + 1 :]
-                                full = len(best_nodes) > k
-            w, to, ids = edges[at]
+                if phi + (best_nodes[-1][0] if full else math.inf) <= -40:
+                    break
+                drawn = rnd()
+                while edges[at][0] <= drawn:
+                    at += 1
+                for j, (_, w, to, ids) in enumerate(edges):
+                    if j != at:
+                        x = log(-log(1 - rnd() or 1e-300)) - phi - w
+                        value = max(minus, x) + math.log1p(exp(-abs(minus - x)))  # -perturbed maximum of the sibling
+                        if not full or value < best_nodes[-1][0]:
+                            serial += 1
+                            last = to == len(lattices[unit])
+                            insort(best_nodes, (value, serial, phi + w, unit + last, 0 if last else to, (path, ids)))
+                            del best_nodes[k + 1 :]
+                            full = len(best_nodes) > k
+            _, w, to, ids = edges[at]
             phi, path = phi + w, (path, ids)
             unit, place = (unit + 1, 0) if to == len(lattices[unit]) else (unit, to)
-        done.append((path, phi, -minus))
+        for rest in lattices[unit:]:  # no sibling matters any more: draw by weight alone
+            n = len(rest)
+            while place < n:
+                edges, at = rest[place], 0
+                if len(edges) > 1:
+                    drawn = rnd()
+                    while edges[at][0] <= drawn:
+                        at += 1
+                _, w, place, ids = edges[at]
+                phi += w
+                steps.append(ids)
+            place = 0
+        done.append((path, steps, phi, -minus))
     out = []
-    for path, phi, perturbed in done:
-        steps: list[tuple[int, ...]] = []
+    for path, steps, phi, perturbed in done:
+        steps.reverse()
         while path:
             path, some = path
             steps.append(some)

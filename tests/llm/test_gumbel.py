@@ -23,7 +23,7 @@ def everything(text):
             if at == n:
                 own.append((ids, w))
             else:
-                for x, to, some in edges[at]:
+                for _, x, to, some in edges[at]:
                     walk(to, ids + some, w + x)
 
         walk(0, (), 0.0)
