@@ -88,6 +88,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {
+    "op1_minhash_odd_sketch": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) end) as s from w),
+        x as (select doc_id, len(s) as n, unnest(s) as h from s),
+        e as (select a.doc_id as a, b.doc_id as b from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r as (select doc_id as id, doc_id as reached from documents union select r.id, e.b from r join e on e.a = r.reached),
+        c as (select id, min(reached) as component_id from r group by id)
+        select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_id as kept from s join c on c.id = s.doc_id""",
+    "op4_suffix_automata": r"""
+        with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        g as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+        f as (select h, min(doc_id) as first from g group by h),
+        c as (select distinct doc_id, unnest(range(i, i + 50)) as pos from g join f using (h) where first < doc_id),
+        p as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from w),
+        k as (select p.doc_id, string_agg(word, ' ' order by pos) as kept, count(*) as n from p anti join c on c.doc_id = p.doc_id and c.pos = p.pos group by p.doc_id)
+        select w.doc_id, len(w) as n_words, len(w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from w left join k using (doc_id)""",
     "op3_content_sort": r"""
         with n as (select doc_id, length(coalesce(text, '')) as n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
         k as (select doc_id, norm, first_value(doc_id) over (partition by norm order by n_cp desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from n)
