@@ -38,8 +38,9 @@ class Model(NamedTuple):
 
 
 class Bags(NamedTuple):
-    """Distinct words laid out as <word> (value, start of each), the distinct word of each word, and its bag's start and text."""
+    """Distinct words (keys) laid out as <word> (value, start of each), the distinct word of each word, each bag's start and text."""
 
+    keys: np.ndarray
     laid: np.ndarray
     starts: np.ndarray
     member: np.ndarray
@@ -74,7 +75,7 @@ def bags_of(texts: list[str]) -> Bags:
     starts, ends = turn[0::2], turn[1::2]
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return Bags(np.zeros(0, np.uint64), empty, empty, empty, empty)
+        return Bags(np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty, empty, empty)
     text_of = np.searchsorted(np.flatnonzero(points == 10), starts)
     value = _VALUE[points & 0xFFFF] + points
 
@@ -83,7 +84,7 @@ def bags_of(texts: list[str]) -> Bags:
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(value * power[0][: len(points)], out=total[1:])
     key = (total[ends] - total[starts]) * power[1][starts] + (ends - starts).astype(np.uint64)
-    _, one, member = np.unique(key, return_index=True, return_inverse=True)
+    keys, one, member = np.unique(key, return_index=True, return_inverse=True)
     size = ends[one] - starts[one] + 2
     edge = np.cumsum(size)
     laid = np.empty(edge[-1], np.uint64)
@@ -92,7 +93,20 @@ def bags_of(texts: list[str]) -> Bags:
     new_text = np.concatenate([[True], text_of[1:] != text_of[:-1]])
     nth = np.arange(len(starts)) - np.flatnonzero(new_text)[np.cumsum(new_text) - 1]
     first = np.flatnonzero(new_text | (nth % BAG == 0))
-    return Bags(laid, edge - size, member, first, text_of[first])
+    return Bags(keys, laid, edge - size, member, first, text_of[first])
+
+
+def merged(parts: list[tuple[int, Bags]]) -> Bags:
+    """One set of bags from parts, each with its number of texts; equal words of several parts become one."""
+    keys, one, inverse = np.unique(np.concatenate([p.keys for _, p in parts]), return_index=True, return_inverse=True)
+    sizes = np.concatenate([np.diff(np.append(p.starts, len(p.laid))) for _, p in parts])
+    offsets = lambda lengths: np.cumsum([0, *lengths])[:-1]
+    starts = np.concatenate([p.starts + at for (_, p), at in zip(parts, offsets([len(p.laid) for _, p in parts]), strict=True)])
+    laid = np.concatenate([p.laid for _, p in parts])[_flat(starts[one], sizes[one])]
+    member = np.concatenate([inverse[p.member + at] for (_, p), at in zip(parts, offsets([len(p.keys) for _, p in parts]), strict=True)])
+    first = np.concatenate([p.first + at for (_, p), at in zip(parts, offsets([len(p.member) for _, p in parts]), strict=True)])
+    text = np.concatenate([p.text + at for (_, p), at in zip(parts, offsets([n for n, _ in parts]), strict=True)])
+    return Bags(keys, laid, np.cumsum(sizes[one]) - sizes[one], member, first, text)
 
 
 def _grams(bags: Bags, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +135,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60, r
 
     toxic_share is the share among all labelled texts, where the sample's own is another.
     """
-    bags = bags_of(texts)
+    bags = merged([(len(some), bags_of([t for (t,) in some])) for some in chunked(((t,) for t in texts), 0)] or [(0, bags_of([]))])
     share = float(toxic.mean()) if len(toxic) else 0.0
     rng = np.random.default_rng(seed)
     weights, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
@@ -135,9 +149,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60, r
     # N-grams of fewer than MIN_WORDS different words keep a zero vector: nothing general is to be learnt from them.
     common = np.bincount(gram, minlength=1 << BITS) >= MIN_WORDS
     word, gram = word[common[gram]], gram[common[gram]]
-    columns, gram = np.unique(gram, return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    word, gram = word[order], gram[order]
+    columns = np.flatnonzero(common)
+    gram = (np.cumsum(common) - 1)[gram]
     table = rng.normal(0, 0.1, (len(columns), DIMENSIONS))
     per_bag = np.diff(np.append(bags.first, len(bags.member)))
     label = toxic[bags.text].astype(np.int64)
@@ -243,9 +256,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = F.broadcast(drawn[0].union(drawn[1]).toDF("__id", "__toxic"))  # at most MAX_TOXIC + MAX_CLEAN rows
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text").between(1, MAX_CHARS))
-    rows = sorted(texts.join(sample, "__id").dropDuplicates(["__id"]).collect())
+    chosen = texts.join(sample, "__id").dropDuplicates(["__id"])
     share = known.agg(F.avg("toxic")).first()[0]
-    return fit([r["__text"] for r in rows], np.array([r["__toxic"] for r in rows], np.int64), toxic_share=share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        model = fit([t for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), toxic_share=share)
+        used = np.flatnonzero(model.embeddings.any(axis=1))
+        parts = [used, model.embeddings[used].ravel(), model.weights.ravel(), model.bias, np.array([model.scale, model.shift])]
+        yield pa.RecordBatch.from_arrays([pa.array([p.astype(float)], pa.list_(pa.float64())) for p in parts], names=["used", "vectors", "weights", "bias", "scale"])
+
+    # One task fits the bounded sample; only the model, whose size is fixed, comes to the driver.
+    arrays = "used array<double>, vectors array<double>, weights array<double>, bias array<double>, scale array<double>"
+    fitted = chosen.coalesce(1).mapInArrow(run, arrays).collect()
+    if not fitted:  # an empty sample may have no task at all
+        return fit([], np.zeros(0, np.int64))
+    got = [np.array(x) for x in fitted[0]]
+    embeddings = np.zeros((1 << BITS, DIMENSIONS))
+    embeddings[got[0].astype(np.int64)] = got[1].reshape(-1, DIMENSIONS)
+    return Model(embeddings, got[2].reshape(DIMENSIONS, 2), got[3], *got[4].tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
