@@ -663,9 +663,9 @@ def ml_char_wb(t: Tables):
 
 @query("ml_logreg")
 def ml_logreg(t: Tables):
-    rows = t.documents.join(t.labels, "doc_id").where(F.length("text") < 1500).select(F.col("doc_id").alias("code"), F.col("text").alias("ingredients_text"), "lang", F.col("lang").alias("label_text"))
+    rows = t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("code"), F.col("text").alias("ingredients_text"), "lang", F.col("lang").alias("label_text"))
     split = S.stratified_split(rows, "label_text")
-    model = L.fit(split.where("not is_test"), iterations=20, min_df=5, vocabulary=5000)
+    model = L.fit(split.where("not is_test"))
     return model.predict(split.where("is_test")).select("code", "label_text", "predicted")
 
 
