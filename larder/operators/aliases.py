@@ -6,6 +6,7 @@ The dictionary is bounded (some hundred aliases of some dozen entities) and is c
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,10 +70,37 @@ def known_share(named: DataFrame) -> DataFrame:
     return named.agg(F.count("*").alias("names"), F.count_if("known").alias("known"), F.coalesce(F.try_divide(F.count_if("known"), F.count("*")), F.lit(0.0)).alias("share"))
 
 
+@lru_cache(maxsize=1 << 14)
 def _pattern(alias: str) -> re.Pattern:
     return re.compile(rf"(?<![^\W\d_])\s*{re.escape(alias)}[^\W\d_]*", re.IGNORECASE)
 
 
+def _letter(c: str) -> bool:
+    """[^\\W\\d_]"""
+    return c.isalnum() and not c.isdecimal()
+
+
+def _mention(alias: str, rest: str, low: str | None) -> tuple[int, int] | None:
+    """Where _pattern(alias) is first found in rest; low is rest in lower case if it has Latin-1 only, where that folds as the pattern does."""
+    if low is None or not alias or alias[0].isspace() or max(alias) > "ÿ":
+        m = _pattern(alias).search(rest)
+        return m and m.span()
+    own = alias.lower()
+    at = low.find(own)
+    while at > 0 and _letter(low[at - 1]):
+        at = low.find(own, at + 1)
+    if at < 0:
+        return None
+    start, end = at, at + len(own)
+    while start and low[start - 1].isspace():
+        start -= 1
+    if 0 < start < at and _letter(low[start - 1]):
+        start += 1
+    while end < len(low) and _letter(low[end]):
+        end += 1
+    return start, end
+
+
 def grounded(names: list[str], text: str, forms: dict[str, list[str]]) -> list[str]:
     """Those names (canonical) that the text mentions; longest aliases first, a mention is used up by the first form.
 
@@ -80,27 +108,49 @@ def grounded(names: list[str], text: str, forms: dict[str, list[str]]) -> list[s
     is not understood.
     """
     rest, out = text, set()
+    low = text.lower() if text and max(text) <= "ÿ" else None
     for name in sorted(set(names), key=lambda n: (-max(map(len, forms.get(n, [n]))), n)):
         aliases = sorted(forms.get(name, [name]), key=lambda a: (-len(a), a))
-        hit = next((m for m in (_pattern(a).search(rest) for a in aliases) if m), None)
+        hit = next((m for m in (_mention(a, rest, low) for a in aliases) if m), None)
         if hit:
             out.add(name)
-            rest = rest[: hit.start()] + "0" * (hit.end() - hit.start()) + rest[hit.end() :]
-        elif any(len(a.split()) > 1 and all(_pattern(w).search(rest) for w in a.split()) for a in aliases):
+            start, end = hit
+            rest = rest[:start] + "0" * (end - start) + rest[end:]
+            low = low and low[:start] + "0" * (end - start) + low[end:]
+        elif any(len(a.split()) > 1 and all(_mention(w, rest, low) for w in a.split()) for a in aliases):
             out.add(name)
     return sorted(out)
 
 
 def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text") -> DataFrame:
-    """rows with ``grounded``: the names that the dictionary calls sugars and the row's own text mentions."""
-    forms = aliases.where("kind = 'sugar'").groupBy("canonical_name").agg(F.array_sort(F.collect_set("alias_key")).alias("forms"))
-    table = {r["canonical_name"]: r["forms"] for r in forms.limit(MAX_BROADCAST).collect()}
+    """rows with ``grounded``: the names that the dictionary calls sugars and the row's own text mentions.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def mentioned(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([grounded([n for n in (own if own is not None else []) if n in table], text or "", table) for own, text in zip(names, texts, strict=True)])
+    Up to MAX_BROADCAST sugar aliases are sent out. Above that each row's names meet their forms by shuffle and are
+    gathered again by what the answer depends on, names and text.
+    """
+    sugars = aliases.where("kind = 'sugar'").select("canonical_name", "alias_key").distinct()
+    forms = sugars.groupBy("canonical_name").agg(F.array_sort(F.collect_set("alias_key")).alias("forms"))
+    if sugars.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        sent = rows.sparkSession.sparkContext.broadcast({r["canonical_name"]: r["forms"] for r in forms.collect()})
 
-    return rows.withColumn("grounded", mentioned(names_col, text_col))
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def mentioned(names: pd.Series, texts: pd.Series) -> pd.Series:
+            table = sent.value
+            return pd.Series([grounded([n for n in (own if own is not None else []) if n in table], text or "", table) for own, text in zip(names, texts, strict=True)])
+
+        return rows.withColumn("grounded", mentioned(names_col, text_col))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def mentioned_of(entries: pd.Series, texts: pd.Series) -> pd.Series:
+        tables = ({e["canonical_name"]: list(e["forms"]) for e in own} for own in entries)
+        return pd.Series([grounded(list(table), text or "", table) for table, text in zip(tables, texts, strict=True)])
+
+    keyed = rows.withColumn("__key", F.unhex(F.md5(F.to_json(F.struct(F.col(names_col).alias("n"), F.col(text_col).alias("t"))))))
+    own = keyed.select("__key", F.explode(F.array_distinct(names_col)).alias("canonical_name"))
+    met = own.join(forms, "canonical_name").groupBy("__key").agg(F.collect_set(F.struct("canonical_name", "forms")).alias("entries"))
+    texts = keyed.groupBy("__key").agg(F.first(text_col).alias("__text"))
+    found = met.join(texts, "__key").select("__key", mentioned_of("entries", "__text").alias("grounded"))
+    return keyed.join(found, "__key", "left").select(*rows.columns, F.coalesce("grounded", F.array().cast("array<string>")).alias("grounded"))
 
 
 def with_keys(frame: DataFrame, name: str = "name", key: str = "name_key") -> DataFrame:

@@ -544,9 +544,10 @@ def txt_prepare(t: Tables):
 
 @query("txt_sugar_grounded")
 def txt_sugar_grounded(t: Tables):
-    forms = t.documents.where("lang = 'en'").select(F.explode(F.slice(F.split(F.lower("text"), r"\W+"), 1, 3)).alias("alias_key")).where(F.length("alias_key") > 4).distinct()
+    forms = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("alias_key")).where(F.length("alias_key") > 4).distinct()
     aliases = forms.select("alias_key", F.col("alias_key").alias("canonical_name"), F.lit("sugar").alias("kind"))
-    rows = t.documents.select("doc_id", "text", F.slice(F.split(F.lower("text"), r"\W+"), 1, 5).alias("names"))
+    names = F.filter(F.array_distinct(F.split(F.lower("text"), r"\W+")), lambda w: F.length(w) > 4)  # as no shorter one is a form
+    rows = t.documents.select("doc_id", "text", names.alias("names"))
     return A.ground(rows, aliases).select("doc_id", "grounded")
 
 
