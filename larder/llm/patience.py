@@ -99,11 +99,32 @@ def align(template: list[bytes], text: list[bytes]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _surroundings(template: list[bytes], positions: list[int], places: dict[bytes, list[int]], slack: int) -> list[tuple[int, int]]:
+    """Stretches about each occurrence of the words at those positions: as the template lies there, with slack, and its whole length to both sides.
+
+    The narrow ones keep out copies that follow each other closely and would hide the anchors again.
+    """
+    out = set()
+    for i in positions:
+        for at in places.get(template[i], ()):
+            first = at - i
+            for low, high in ((first, first + len(template)), (first - slack, first + len(template) + slack), (at - len(template), at + len(template))):
+                out.add((max(0, low), high))
+    return sorted(out)
+
+
+def _common(template: list[bytes], text: list[bytes]) -> int:
+    """Words of template that text has, each as often as there: no alignment matches more."""
+    return (Counter(template) & Counter(text)).total()
+
+
 def scan_text(text: list[bytes], templates: dict[str, list[bytes]], coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, first and last matched word) of every template that is covered enough.
 
-    The whole text is aligned first. Where its repeats hide the anchors, the surroundings of each occurrence of the
-    template's rarest word are aligned on their own, and the best one counts.
+    The whole text is aligned first. Where its repeats hide the anchors, passages are aligned on their own, and the
+    best one counts. A passage that covers enough misses at most so many of the template's positions, so one of that
+    many and one more positions lies in it: the surroundings of all occurrences of their words are aligned, those of
+    the rarest words.
     """
     vocabulary = {w for t in templates.values() for w in t}
     places: dict[bytes, list[int]] = {}
@@ -116,10 +137,14 @@ def scan_text(text: list[bytes], templates: dict[str, list[bytes]], coverage: fl
             continue  # no alignment can cover more
         best = align(template, text)
         if len(best) < len(template):
-            rarest = min((w for w in template if w in places), key=lambda w: (len(places[w]), w))
-            for at in places[rarest]:
-                low = max(0, at - len(template))
-                near = [(i, low + j) for i, j in align(template, text[low : at + len(template)])]
+            least = next(n for n in range(len(template) + 1) if n >= coverage * len(template))
+            missed = len(template) - least
+            order = sorted(range(len(template)), key=lambda i: (len(places.get(template[i], ())), template[i], i))
+            for low, high in _surroundings(template, order[: missed + 1], places, missed):
+                part = text[low:high]
+                if _common(template, part) < max(len(best), least):
+                    continue  # no alignment can be as good
+                near = [(i, low + j) for i, j in align(template, part)]
                 best = max(best, near, key=lambda m: (len(m), -(m[-1][1] - m[0][1]) if m else 0))
         if best and len(best) >= coverage * len(template):
             out.append((name, len(best) / len(template), len(best), best[0][1], best[-1][1]))
