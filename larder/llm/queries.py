@@ -29,9 +29,8 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["conv_id", "turn"]
-    recordings = with_recordings(spark.read.parquet(f"{sf_dir}/conversations.parquet"), keys)
-    return search(recordings, keys, F.col("conv_id") % 20 == 0)
+    keys = ["doc_id"]
+    return search(with_recordings(_documents(spark, sf_dir), keys), keys, F.col("doc_id") % 20 == 0)
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
