@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import aliases as A
+from larder.operators import retrieval as R
 from larder.operators import sampling as S
 from larder.plans.all import QUERIES
 
@@ -66,3 +67,13 @@ def test_mentions_are_where_the_pattern_finds_them():
         alias = "".join(rnd.choice("abé²ß1 ") for _ in range(rnd.randrange(1, 4)))
         m = A._pattern(alias).search(text)
         assert A._mention(alias, text, text.lower()) == (m and m.span()), (alias, text)
+
+
+@shared
+def test_index_finds_the_nearest(spark):
+    got = {(r.query, r.id) for r in QUERIES["vec_index"](spark, FOLDER).collect()}
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    want = {(r.query, r.id) for r in R.top_k_many(vectors, asked, 5).collect()}
+    print("recall", len(got & want), len(want))
+    assert len(want) >= 5 and len(got & want) >= 0.9 * len(want) and len(got) <= len(want)
