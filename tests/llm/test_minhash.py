@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larder.llm.minhash import most_differing, near_duplicates, shingle_sets, signatures, sketch_similarity
 from larder.llm.words import words_of
@@ -109,3 +110,67 @@ def test_large_families_are_compared_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(mine)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
+
+
+def brute_rows(rows, n, percent):
+    """By row: component and whether it leads, with every row a document of its own."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append((tuple(w), {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()))
+    root = list(range(len(rows)))
+    linked = [i for i, (k, _) in enumerate(rows) if k is not None and sets[i][1]]
+    for _ in range(len(rows)):
+        before = root[:]
+        for x in linked:
+            for y in linked:
+                if 100 * len(sets[x][1] & sets[y][1]) >= percent * len(sets[x][1] | sets[y][1]):
+                    root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    return [min(rows[y][0] for y in linked if root[y] == root[x]) if x in linked else rows[x][0] for x in range(len(rows))]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    base, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    four = [(1, base), (2, base), (2, other), (3, other + " x")]
+    for rows in (four, four[::-1]):
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept, r.leads) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert len(got) == 3 and got[1, 56] == (1, True, True) and got[3, 57] == (2, False, False)
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        texts = [t for _, t in corpus(seed, 7, 8)] + ["", " ", None]
+        rows = [(rnd.choice([None, *range(12)]), rnd.choice(texts)) for _ in range(90)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit(0))
+        out = near_duplicates(frame.repartition(4), shingle_words=4).collect()
+        want = brute_rows(rows, 4, 80)
+        assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted(zip([i for i, _ in rows], want, strict=True), key=str)
+        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) and (r.kept or not r.leads) for r in out)
+        groups = {}
+        for r in out:
+            if r.n_shingles and r.doc_id is not None:
+                groups.setdefault(r.component_id, set()).update({r.text_hash} if r.leads else ())
+        # A component id may name several components, each with one text that leads.
+        assert all(groups.values())
+
+
+def test_a_text_of_each_component_leads(spark):
+    a = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, a), (1, a + " x"), (1, "other words stand in this one alone"), (2, a + " y")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.leads for r in got) == 2 and sorted((r.component_id, r.kept) for r in got) == [(1, False), (1, True), (1, True), (1, True)]
+
+
+def test_a_bucket_of_many_unlike_members_gives_few_rows(spark, monkeypatch):
+    """Members that share a band, no two alike but for some pairs."""
+    from larder.llm import minhash
+    from larder.llm.scratch import Scratch
+
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 300)
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(-(1 << 62), 1 << 62, (2000, 8))
+    sketch[1500:] = sketch[:500]
+    rows = [(9, k, k, 100, sketch[k].tolist(), 2000) for k in range(2000)] + [(8, k, k, 100, sketch[k % 5].tolist(), 10) for k in range(10)]
+    apart = spark.createDataFrame(rows, "key long, node long, family long, n_shingles long, sketch array<long>, held long")
+    got = {(r.b, r.a) for r in minhash._met_families(apart, 80, most_differing(0.8, 128), Scratch(spark, "test")).collect()}
+    assert got == {(k, k + 1500) for k in range(500)} | {(k, k + 5) for k in range(5)}
