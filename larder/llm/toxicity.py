@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.words import chunked, powers, stream
@@ -22,8 +23,8 @@ from larder.llm.words import chunked, powers, stream
 BITS, DIMENSIONS, SIZES, BAG, MIN_WORDS, DECAY = 18, 2, (3, 4, 5), 4, 3, 3e-6
 #: A text scores by so many of its most toxic bags; a toxic text stands by this share of its bags in training.
 TOP_BAGS, SHARE = 2, 0.06
-#: Bounds of the sample that the classifier is fitted on: documents by label, and characters of one.
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 20_000
+#: Bounds of the sample that the classifier is fitted on: documents by label.
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +70,7 @@ def bags_of(texts: list[str]) -> Bags:
     """Bags of at most BAG words; a text without words has none. Words are runs of letters and digits, lower-cased."""
     data = "\n".join(t.lower().replace("\n", " ") for t in texts) + "\n"
     points = np.frombuffer(data.encode("utf-32-le", "replace"), np.uint32)
-    held = _IS_LETTER[points & 0xFFFF]
+    held = _IS_LETTER[np.minimum(points, 0xFFFF)]  # beyond the table all are letters
     turn = np.flatnonzero(held[1:] != held[:-1]) + 1
     turn = np.concatenate([[0], turn]) if held[0] else turn
     starts, ends = turn[0::2], turn[1::2]
@@ -248,15 +249,17 @@ def fold(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled documents outside fold 0, at most MAX_TOXIC and MAX_CLEAN of up to MAX_CHARS characters each.
+    """Fit on labelled documents outside fold 0, at most MAX_TOXIC and MAX_CLEAN of them; their texts are read whole.
 
-    An id with several labels counts as toxic if one says so; null ids, labels and texts are left out.
+    An id with several labels counts as toxic if one says so; null ids, labels and texts are left out. Of an id with
+    several texts the least by hash stands for it, so the order of rows doesn't matter.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id") != 0)
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = F.broadcast(drawn[0].union(drawn[1]).toDF("__id", "__toxic"))  # at most MAX_TOXIC + MAX_CLEAN rows
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text").between(1, MAX_CHARS))
-    chosen = texts.join(sample, "__id").dropDuplicates(["__id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text") > 0)
+    one = F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__one")
+    chosen = texts.join(sample, "__id").groupBy("__id", "__toxic").agg(one).select("__id", "__one.__text", "__toxic")
     share = known.agg(F.avg("toxic")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,20 +280,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(embeddings, got[2].reshape(DIMENSIONS, 2), got[3], *got[4].tolist())
 
 
+def toxic_score(text: Column, model: Model) -> Column:
+    """Score of each text, 0 to 1; rows stay where they are. Null and empty texts score 0."""
+    sent = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        out = [scores([t or "" for (t,) in some], sent.value) for some in chunked(((t,) for t in texts), 0)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return scored(text)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1), predicted (1 from threshold on).
 
     Whole texts are scored, whatever their length; null and empty texts score 0. Repeated and null ids keep rows of
     their own; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in chunked(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
-                s = scores([t or "" for _, t in some], sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(s, pa.float64())], names=["id", "score"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(run, "id long, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), toxic_score(F.col(text_col).cast("string"), model).alias("score"))
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -81,3 +81,12 @@ def test_stages_take_empty_tables(spark, folder):
 
 def test_run_is_the_stages(spark, folder):
     assert P.run(spark, folder).count() > 100 and [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "personal_data", "packing"]
+
+
+def test_near_dedup_keeps_other_texts_of_repeated_ids(spark, folder):
+    base, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, base), (2, base + " x"), (2, other), (3, other + " x"), (2, other), (None, base), (None, base), (4, None), (4, None), (5, base + " y")]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in some], SCHEMA)
+        got = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, folder).collect()]
+        assert sorted(got, key=str) == sorted([(1, base), (2, other), (None, base), (None, base), (4, None)], key=str)
