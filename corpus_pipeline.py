@@ -10,7 +10,7 @@ from larder.llm.content_sort import content_sort, normalised
 from larder.llm.minhash import near_duplicates
 from larder.llm.packing import pack
 from larder.llm.pii import sanitise
-from larder.llm.toxicity import score, train
+from larder.llm.toxicity import toxic_score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,9 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. Null and empty texts stay; a null id is judged by its text."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = docs.select(COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
-    rejected = score(keyed, model, id_col="row").where("predicted = 1").select("row").distinct()
-    return keyed.join(rejected, "row", "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).where(toxic_score(F.col("text"), model) < 0.5)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +33,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more.
 
-    Documents without words, or without an id, are near nothing and stay.
+    Documents without words, or without an id, are near nothing and stay. What goes is told by id and text, so other
+    texts under a repeated id stay; of rows that repeat an id and a text one stays.
     """
-    dropped = near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    gone = near_duplicates(docs, shingle_words=5, percent=80).where("not leads").select("doc_id", F.col("text_hash").alias("hash")).distinct()
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = docs.select(COLUMNS).withColumns({"hash": F.xxhash64(F.coalesce("text", F.lit(""))), "row": nameless})
+    return keyed.join(gone, ["doc_id", "hash"], "left_anti").dropDuplicates(["doc_id", "hash", "row"]).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
