@@ -20,25 +20,9 @@ def median(c: Column) -> Column:
     return F.percentile(c, 0.5)
 
 
-def upper_median(c: Column) -> Column:
-    """sorted[n // 2]."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
-
-
-def index_percentile(c: Column, share: float = 0.95) -> Column:
-    """sorted[min(int(share * n), n - 1)]."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.least(F.floor(F.count(c) * share), F.count(c) - 1) + 1).cast("int"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def language_quotas(total: int, languages: list[str]) -> dict[str, int]:
-    """Equal shares; the first languages take what is over."""
-    base, over = divmod(total, len(languages))
-    return {lang: base + (k < over) for k, lang in enumerate(languages)}

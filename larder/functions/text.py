@@ -19,17 +19,27 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
 
-def _key(name: str | None) -> str | None:
-    if name is None:
-        return None
-    bare = "".join(c for c in unicodedata.normalize("NFKD", name.strip().lower()) if not unicodedata.combining(c))
-    return re.sub(r"[\s_-]+", " ", re.sub(r"[^\w\s-]", " ", bare)).strip()
+class _Letters(dict):
+    """What each lower-case character counts for in a key: its letters and digits without accents, nothing for a mark, else a gap."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code))
+        self[code] = out = "".join(c if c.isalnum() else " " for c in parts if not unicodedata.combining(c))
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def key_words(name: str | None) -> list[str]:
+    """The words of a name's key. The rule is fixed by the dictionary: letters and digits count, the rest parts words."""
+    return (name or "").lower().translate(_LETTERS).split()
 
 
 @F.pandas_udf(T.StringType())
 def normalize_key(names: pd.Series) -> pd.Series:
     """Dictionary key of a name: lower case, no combining marks, punctuation and dashes as single spaces."""
-    return names.map(_key, na_action="ignore")
+    return names.map(lambda name: " ".join(key_words(name)), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

@@ -5,15 +5,15 @@ The dictionary is bounded (some hundred aliases of some dozen entities) and is c
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.text import normalize_key
+from larder.functions.text import key_words, normalize_key
 
 #: Above so many aliases the dictionary is joined by shuffle.
 MAX_BROADCAST = 200_000
@@ -70,84 +70,74 @@ def known_share(named: DataFrame) -> DataFrame:
     return named.agg(F.count("*").alias("names"), F.count_if("known").alias("known"), F.coalesce(F.try_divide(F.count_if("known"), F.count("*")), F.lit(0.0)).alias("share"))
 
 
-@lru_cache(maxsize=1 << 14)
-def _pattern(alias: str) -> re.Pattern:
-    return re.compile(rf"(?<![^\W\d_])\s*{re.escape(alias)}[^\W\d_]*", re.IGNORECASE)
+def grounded(names: Iterable[str], words: list[str], forms: Mapping[str, list[list[str]]]) -> list[str]:
+    """Those canonical names that the words of a text mention; forms gives each name's aliases as lists of words.
 
+    An alias stands where its words follow each other, the last one in any inflection (a longer word that starts with
+    it). Names with the longest aliases choose first, and the words they take are gone for the others. An alias of
+    several words that doesn't stand as such counts if all its words are left, in any order, and takes none. Negation
+    is not understood.
+    """
+    order = sorted(range(len(words)), key=lambda at: (words[at], at))
+    ordered, free = [words[at] for at in order], [True] * len(words)
 
-def _letter(c: str) -> bool:
-    """[^\\W\\d_]"""
-    return c.isalnum() and not c.isdecimal()
+    def starting(with_: str) -> list[int]:
+        return [at for at in order[bisect_left(ordered, with_) : bisect_right(ordered, with_ + chr(0x10FFFF))] if free[at]]
 
+    def standing(alias: list[str]) -> slice | None:
+        head = alias[:-1]
+        firsts = (last - len(head) for last in sorted(starting(alias[-1])))
+        return next((slice(at, at + len(alias)) for at in firsts if at >= 0 and words[at : at + len(head)] == head and all(free[at : at + len(head)])), None)
 
-def _mention(alias: str, rest: str, low: str | None) -> tuple[int, int] | None:
-    """Where _pattern(alias) is first found in rest; low is rest in lower case if it has Latin-1 only, where that folds as the pattern does."""
-    if low is None or not alias or alias[0].isspace() or max(alias) > "ÿ":
-        m = _pattern(alias).search(rest)
-        return m and m.span()
-    own = alias.lower()
-    at = low.find(own)
-    while at > 0 and _letter(low[at - 1]):
-        at = low.find(own, at + 1)
-    if at < 0:
-        return None
-    start, end = at, at + len(own)
-    while start and low[start - 1].isspace():
-        start -= 1
-    if 0 < start < at and _letter(low[start - 1]):
-        start += 1
-    while end < len(low) and _letter(low[end]):
-        end += 1
-    return start, end
+    def taken(alias: list[str]) -> bool:
+        if (place := standing(alias)) is not None:
+            free[place] = [False] * len(alias)
+            return True
+        return len(alias) > 1 and all(map(starting, alias))
 
+    spelt = lambda alias: (-len(" ".join(alias)), alias)
+    by_length = {name: sorted(filter(None, forms[name]), key=spelt) for name in set(names) if name in forms}
+    return sorted([name for name, own in sorted(by_length.items(), key=lambda x: (spelt(x[1][0]) if x[1] else (0, []), x[0])) if any(map(taken, own))])
 
-def grounded(names: list[str], text: str, forms: dict[str, list[str]]) -> list[str]:
-    """Those names (canonical) that the text mentions; longest aliases first, a mention is used up by the first form.
 
-    Where no alias stands as such, an alias of several words counts if all of its words occur, in any order. Negation
-    is not understood.
-    """
-    rest, out = text, set()
-    low = text.lower() if text and max(text) <= "ÿ" else None
-    for name in sorted(set(names), key=lambda n: (-max(map(len, forms.get(n, [n]))), n)):
-        aliases = sorted(forms.get(name, [name]), key=lambda a: (-len(a), a))
-        hit = next((m for m in (_mention(a, rest, low) for a in aliases) if m), None)
-        if hit:
-            out.add(name)
-            start, end = hit
-            rest = rest[:start] + "0" * (end - start) + rest[end:]
-            low = low and low[:start] + "0" * (end - start) + low[end:]
-        elif any(len(a.split()) > 1 and all(_mention(w, rest, low) for w in a.split()) for a in aliases):
-            out.add(name)
-    return sorted(out)
-
-
-def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text") -> DataFrame:
-    """rows with ``grounded``: the names that the dictionary calls sugars and the row's own text mentions.
-
-    Up to MAX_BROADCAST sugar aliases are sent out. Above that each row's names meet their forms by shuffle and are
-    gathered again by what the answer depends on, names and text.
+def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """rows with ``grounded``: the canonical sugars that the row's names mean and its own text mentions.
+
+    Names are looked up by their keys as ``resolve`` does, by language first where lang_col names one; the text is
+    brought to words by the same rule, and any language's alias may stand in it. Up to MAX_BROADCAST aliases are sent
+    out. Above that each row's names meet the dictionary by shuffle and are gathered again by what the answer depends
+    on. Null names, texts and languages are empty; no row is lost.
     """
-    sugars = aliases.where("kind = 'sugar'").select("canonical_name", "alias_key").distinct()
-    forms = sugars.groupBy("canonical_name").agg(F.array_sort(F.collect_set("alias_key")).alias("forms"))
-    if sugars.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        sent = rows.sparkSession.sparkContext.broadcast({r["canonical_name"]: r["forms"] for r in forms.collect()})
+    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")
+    forms = aliases.groupBy("canonical_name").agg(F.collect_set("alias_key").alias("forms"))
+    if aliases.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        exact = {(r["lang"], r["alias_key"]): r for r in by_language(aliases).collect()}
+        loose = {r["alias_key"]: r for r in by_key(aliases).collect()}
+        known = {r["canonical_name"]: [key_words(f) for f in r["forms"]] for r in forms.collect()}
+        sent = rows.sparkSession.sparkContext.broadcast((exact, loose, known))
 
         @F.pandas_udf(T.ArrayType(T.StringType()))
-        def mentioned(names: pd.Series, texts: pd.Series) -> pd.Series:
-            table = sent.value
-            return pd.Series([grounded([n for n in (own if own is not None else []) if n in table], text or "", table) for own, text in zip(names, texts, strict=True)])
+        def mentioned(names: pd.Series, texts: pd.Series, langs: pd.Series) -> pd.Series:
+            by_lang, by_name, table = sent.value
+
+            def one(own, text, language) -> list[str]:
+                keys = {" ".join(key_words(n)) for n in (own if own is not None else [])}
+                entries = [by_lang.get((language, key)) or by_name.get(key) for key in keys]
+                return grounded({e["canonical_name"] for e in entries if e and e["kind"] == "sugar"}, key_words(text), table)
+
+            return pd.Series(list(map(one, names, texts, langs)), dtype=object)
 
-        return rows.withColumn("grounded", mentioned(names_col, text_col))
+        return rows.withColumn("grounded", mentioned(names_col, text_col, lang))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def mentioned_of(entries: pd.Series, texts: pd.Series) -> pd.Series:
-        tables = ({e["canonical_name"]: list(e["forms"]) for e in own} for own in entries)
-        return pd.Series([grounded(list(table), text or "", table) for table, text in zip(tables, texts, strict=True)])
+        tables = ({e["canonical_name"]: [key_words(f) for f in e["forms"]] for e in own} for own in entries)
+        return pd.Series([grounded(table, key_words(text), table) for table, text in zip(tables, texts, strict=True)], dtype=object)
 
-    keyed = rows.withColumn("__key", F.unhex(F.md5(F.to_json(F.struct(F.col(names_col).alias("n"), F.col(text_col).alias("t"))))))
-    own = keyed.select("__key", F.explode(F.array_distinct(names_col)).alias("canonical_name"))
-    met = own.join(forms, "canonical_name").groupBy("__key").agg(F.collect_set(F.struct("canonical_name", "forms")).alias("entries"))
+    keyed = rows.withColumn("__key", F.unhex(F.md5(F.to_json(F.struct(F.col(names_col).alias("n"), F.col(text_col).alias("t"), lang.alias("l"))))))
+    own = keyed.select("__key", lang.alias("lang"), F.explode(F.array_distinct(names_col)).alias("__name")).withColumn("name_key", normalize_key("__name"))
+    named = resolve(own, aliases).where("dict_kind = 'sugar'").select("__key", F.col("dict_name").alias("canonical_name")).distinct()
+    met = named.join(forms, "canonical_name").groupBy("__key").agg(F.collect_list(F.struct("canonical_name", "forms")).alias("entries"))
     texts = keyed.groupBy("__key").agg(F.first(text_col).alias("__text"))
     found = met.join(texts, "__key").select("__key", mentioned_of("entries", "__text").alias("grounded"))
     return keyed.join(found, "__key", "left").select(*rows.columns, F.coalesce("grounded", F.array().cast("array<string>")).alias("grounded"))

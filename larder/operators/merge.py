@@ -36,9 +36,13 @@ def update_by_key(stored: DataFrame, values: DataFrame, keys: list[str], column:
     return stored.join(new, keys, "left").withColumn(column, F.when(F.col("__hit"), F.col("__value")).otherwise(F.col(column))).select(stored.columns)
 
 
-def journal_row(spark, stage: str, status: str, seen: int, written: int, skipped: int, params: dict[str, str]) -> DataFrame:
-    row = [(stage, status, seen, written, skipped, params)]
-    return spark.createDataFrame(row, "stage string, status string, items_seen long, items_written long, items_skipped long, params map<string,string>").withColumn("started_at", F.current_timestamp())
+def journal(counts: DataFrame, stage: str, status: str, **params: Column) -> DataFrame:
+    """A journal row of a run from its counts (seen, written, skipped), which stay where they are; params as strings."""
+    pairs = [x for name, value in params.items() for x in (F.lit(name), value.cast("string"))]
+    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return counts.select(
+        F.lit(stage).alias("stage"), F.lit(status).alias("status"), *[F.col(c).cast("long").alias(f"items_{c}") for c in ("seen", "written", "skipped")], made.alias("params"), F.current_timestamp().alias("started_at")
+    )
 
 
 def last_watermark(runs: DataFrame) -> DataFrame:

@@ -114,6 +114,13 @@ def agent_report(runs: DataFrame, outside: str = "out_of_scope") -> DataFrame:
     )
 
 
+#: Gold is labelled by hand; above so many codes a fingerprint is refused, as its digest is one task's work.
+MAX_GOLD = 1_000_000
+
+
 def fingerprint(gold: DataFrame, key: str = "code") -> DataFrame:
-    """(products, digest): first 12 hex digits of the SHA-256 of the sorted codes, one a line. Gold sets are small."""
-    return gold.agg(F.count("*").alias("products"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256), 1, 12).alias("digest"))
+    """(products, digest): first 12 hex digits of the SHA-256 of the sorted codes, one a line. At most MAX_GOLD codes."""
+    codes = gold.select(F.col(key).cast("string").alias("code"))
+    if (n := codes.limit(MAX_GOLD + 1).count()) > MAX_GOLD:
+        raise ValueError(f"{n} codes or more; gold has at most {MAX_GOLD}")
+    return codes.agg(F.count("*").alias("products"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("code")), "\n"), 256), 1, 12).alias("digest"))

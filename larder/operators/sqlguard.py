@@ -1,31 +1,81 @@
-"""A guarded SELECT surface: statements are judged by their parsed plan, not by their text."""
+"""A guarded SELECT surface: statements are judged by their parsed plan, not by their text.
+
+Everything is let through by list: kinds of plan nodes, functions, and tables. A name is a table unless a WITH clause
+that is in scope defines it, and within its own definition it isn't yet.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 ALLOWED = ("products", "product_extraction", "product_embedding", "ingredients_dict")
 MAX_ROWS = 20
+#: Parsed nodes that only read, filter, group, join and order.
+NODES = frozenset(
+    "Project Filter Aggregate UnresolvedHaving Sort Distinct GlobalLimit LocalLimit Offset Join Union Except Intersect SubqueryAlias "
+    "UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith WithWindowDefinition OneRowRelation".split()
+)
+FUNCTIONS = frozenset(
+    "abs any array_contains array_distinct array_join array_max array_min array_size array_sort arrays_overlap avg between bool_and bool_or bround ceil char_length coalesce concat concat_ws "
+    "contains corr count count_if current_date current_timestamp date_trunc datediff dense_rank element_at endswith every exists explode filter first first_value floor from_unixtime greatest if ifnull "
+    "ilike instr isnotnull isnull lag last last_value lead least left len length like ln log lower lpad ltrim map_keys map_values max max_by mean median min min_by mod month now nullif nvl "
+    "percent_rank percentile position pow power rank regexp_count regexp_extract regexp_like regexp_replace replace rlike right round row_number rpad rtrim sign size "
+    "sort_array split split_part sqrt startswith std stddev substr substring sum to_date transform trim try_divide upper variance when year".split()
+)
 
 
 class RejectedSQL(ValueError):
     """A statement that the guard doesn't let through."""
 
 
-def _nodes(plan):
-    """The plan and everything below it, sub-queries included."""
-    yield plan
-    for children in (plan.children(), plan.innerChildren(), plan.subqueries()):
-        for k in range(children.size()):
-            child = children.apply(k)
-            if hasattr(child, "children"):
-                yield from _nodes(child)
+def _seq(items) -> list:
+    return [items.apply(k) for k in range(items.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _expressions(node) -> Iterator:
+    todo = _seq(node.expressions())
+    while todo:
+        expression = todo.pop()
+        yield expression
+        todo += _seq(expression.children())
+
+
+def _check(plan, tables: frozenset[str], scope: frozenset[str]) -> int:
+    """Tables that are read, counted, or RejectedSQL; scope holds the names that WITH clauses have defined."""
+    kind = _kind(plan)
+    if kind not in NODES:
+        raise RejectedSQL(f"{kind} is not allowed")
+    for expression in _expressions(plan):
+        if _kind(expression) == "UnresolvedFunction":
+            name = ".".join(_seq(expression.nameParts())).lower()
+            if name not in FUNCTIONS:
+                raise RejectedSQL(f"function not allowed: {name}")
+    if kind == "UnresolvedRelation":
+        name = ".".join(part.lower() for part in _seq(plan.multipartIdentifier()))
+        if name not in scope and name not in tables:
+            raise RejectedSQL(f"table not allowed: {name}")
+        return int(name not in scope)
+    read = 0
+    if kind == "UnresolvedWith":
+        if plan.allowRecursion():
+            raise RejectedSQL("recursion is not allowed")
+        for relation in _seq(plan.cteRelations()):
+            read += _check(relation._2(), tables, scope)
+            scope |= {relation._1().lower()}
+    for below in [*_seq(plan.children()), *_seq(plan.subqueries())]:
+        read += _check(below, tables, scope)
+    return read
 
 
 def validate_sql(spark: SparkSession, query: str, tables: tuple[str, ...] = ALLOWED) -> str:
-    """The statement without its final semicolon, or RejectedSQL.
+    """The statement without its final semicolon, or RejectedSQL that says why.
 
     Let through is one SELECT (or WITH ... SELECT) over the allowed tables with a literal LIMIT at the top.
     """
@@ -38,25 +88,12 @@ def validate_sql(spark: SparkSession, query: str, tables: tuple[str, ...] = ALLO
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise RejectedSQL("the statement can't be parsed") from e
-    named, ctes, top = set(), set(), plan
-    for node in _nodes(plan):
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            named.add(node.tableName().replace("`", "").lower())
-        elif kind == "UnresolvedWith":
-            ctes |= {node.cteRelations().apply(k)._1().lower() for k in range(node.cteRelations().size())}
-        elif re.search(r"Command|Insert|Create|Drop|Alter|Merge|Delete|Update|Cache|SetCatalog", kind):
-            raise RejectedSQL(f"{kind} is not allowed")
-    # Relations inside expressions and CTEs that the walk doesn't reach stand in the plan's text.
-    named |= {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan.toString().replace(", ", "."))}
-    if unknown := named - ctes - set(tables):
-        raise RejectedSQL(f"tables not allowed: {', '.join(sorted(unknown))}")
-    if not named - ctes:
+    if not _check(plan, frozenset(tables), frozenset()):
         raise RejectedSQL("no table is read")
-    while top.getClass().getSimpleName() in ("UnresolvedWith", "CTE"):
-        top = top.child()
-    if top.getClass().getSimpleName() not in ("GlobalLimit", "UnresolvedLimit", "LocalLimit") and not re.search(r"(?is)\blimit\s+\d+\s*$", text):
-        raise RejectedSQL("LIMIT is missing")
+    while _kind(plan) == "UnresolvedWith":
+        plan = plan.child()
+    if _kind(plan) != "GlobalLimit" or _kind(plan.limitExpr()) != "Literal":
+        raise RejectedSQL(f"LIMIT is missing: ask for at most {MAX_ROWS} rows")
     return text
 
 

@@ -13,6 +13,7 @@ from larder.operators import corpus as C
 from larder.operators import gate as G
 from larder.operators import merge as M
 from larder.operators import metrics as E
+from larder.operators import ranking as K
 from larder.operators import retrieval as R
 from larder.operators import sampling as S
 from larder.plans.registry import Tables, query
@@ -59,13 +60,13 @@ def jn_search(t: Tables):
 # --- dictionary: entities named by part types, aliases by line; nations as names
 
 
-ALIASES = "select lower(p_type) as alias_key, case when p_partkey % 2 = 0 then 'en' else 'fr' end as lang, 'c' || (p_partkey % 7) as canonical_name, case when p_partkey % 3 = 0 then 'sugar' else 'base' end as kind, p_partkey::int as line from part where p_partkey <= 150 and p_type not like 'S%'"
+ALIASES = "select lower(p_type) as alias_key, case when p_partkey % 2 = 0 then 'en' else 'fr' end as lang, 'c' || (p_partkey % 7) as canonical_name, case when p_partkey % 3 = 0 then 'sugar' else 'base' end as kind, p_partkey::int as line from part where p_type not like 'S%'"
 NAMES = "select l_orderkey, l_linenumber, lower(p_type) as name_key, case when l_linenumber % 2 = 0 then 'en' else 'de' end as lang, case when l_returnflag = 'R' then 'sugar' else 'base' end as kind from lineitem join part on l_partkey = p_partkey"
 RESOLVED = f"with a as ({ALIASES}), n as ({NAMES}), x as (select alias_key, lang, arg_max(canonical_name, line) as cn, arg_max(kind, line) as k from a group by 1, 2), y as (select alias_key, arg_min(canonical_name, line) as cn, arg_min(kind, line) as k from a group by 1), r as (select n.*, coalesce(x.cn, y.cn) as dict_name, case when x.cn is not null then x.k else y.k end as dict_kind from n left join x on x.alias_key = n.name_key and x.lang = n.lang left join y on y.alias_key = n.name_key)"
 
 
 def alias_table(t: Tables):
-    return t.part.where("p_partkey <= 150 and p_type not like 'S%'").select(F.lower("p_type").alias("alias_key"), F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("canonical_name"), F.when(F.col("p_partkey") % 3 == 0, "sugar").otherwise("base").alias("kind"), F.col("p_partkey").cast("int").alias("line"))
+    return t.part.where("p_type not like 'S%'").select(F.lower("p_type").alias("alias_key"), F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("canonical_name"), F.when(F.col("p_partkey") % 3 == 0, "sugar").otherwise("base").alias("kind"), F.col("p_partkey").cast("int").alias("line"))
 
 
 def name_table(t: Tables):
@@ -172,12 +173,16 @@ def agg_load_result(t: Tables):
 
 @query("agg_benchmark", "select event_type, round(quantile_cont(value, 0.5), 4) as median_s, list_sort(list(value))[least((count(*) * 95) // 100, count(*) - 1) + 1] as p95_s, round(avg(case when value = 0 then 1.0 else 0 end), 6) as zero_share from events group by 1")
 def agg_benchmark(t: Tables):
-    return t.events.groupBy("event_type").agg(F.round(N.median(F.col("value")), 4).alias("median_s"), N.index_percentile(F.col("value")).alias("p95_s"), F.round(F.avg((F.col("value") == 0).cast("double")), 6).alias("zero_share"))
+    ranks = {"a": K.lower_middle(), "b": K.upper_middle(), "p95_s": K.at_share(0.95)}
+    placed = K.order_statistics(t.events, ["event_type"], "value", ranks)
+    shares = t.events.groupBy("event_type").agg(F.round(F.avg((F.col("value") == 0).cast("double")), 6).alias("zero_share"))
+    return placed.join(shares, "event_type").select("event_type", F.round((F.col("a") + F.col("b")) / 2, 4).alias("median_s"), "p95_s", "zero_share")
 
 
 @query("agg_report_means", "select event_type, list_sort(list(value))[count(*) // 2 + 1] as upper_median, round(avg(value), 4) as mean from events group by 1")
 def agg_report_means(t: Tables):
-    return t.events.groupBy("event_type").agg(N.upper_median(F.col("value")).alias("upper_median"), F.round(F.avg("value"), 4).alias("mean"))
+    placed = K.order_statistics(t.events, ["event_type"], "value", {"upper_median": K.upper_middle()})
+    return placed.join(t.events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean")), "event_type")
 
 
 @query("agg_preprocess", "select count(*) as rows, count(*) filter (regexp_matches(html, '<[^>]+>')) as with_markup, count(*) filter (length(html) > 9830) as too_long, count(*) filter (html = '') as empty from pages")
@@ -346,19 +351,15 @@ def win_last_dup(t: Tables):
 
 @query("win_consecutive_fail", "select max(n) as longest from (select count(*) as n from (select event_id, event_id - row_number() over (order by event_id) as island from events where event_type = 'error') group by island)")
 def win_consecutive_fail(t: Tables):
-    # Gaps and islands on consecutive ids: a run of errors ends where the id before is no error.
+    # Gaps and islands on consecutive ids: a run of errors ends where the id before is no error. The k-th start and the k-th end are one run.
     errors = t.events.where("event_type = 'error'").select("event_id")
-    starts = errors.join(errors.select((F.col("event_id") + 1).alias("event_id")), "event_id", "left_anti").select("event_id", F.lit(1).alias("edge"))
-    ends = errors.join(errors.select((F.col("event_id") - 1).alias("event_id")), "event_id", "left_anti").select("event_id", F.lit(0).alias("edge"))
-    both = starts.union(ends).repartitionByRange("event_id")
-    lengths = both.groupBy((F.col("edge") == 1).alias("is_start")).agg(F.array_sort(F.collect_list("event_id")).alias("ids")).groupBy().pivot("is_start", [True, False]).agg(F.first("ids"))
-    return lengths.select(F.array_max(F.zip_with("false", "true", lambda e, s: e - s + 1)).alias("longest"))
+    edge = lambda step, name: K.global_rank(errors.join(errors.select((F.col("event_id") + step).alias("event_id")), "event_id", "left_anti"), ["event_id"]).withColumnRenamed("event_id", name)
+    return edge(1, "start").join(edge(-1, "end"), "place").agg(F.max(F.col("end") - F.col("start") + 1).alias("longest"))
 
 
 @query("mth_quotas", "select lang, 100 // n + case when place <= 100 % n then 1 else 0 end as quota from (select lang, row_number() over (order by lang) as place, count(*) over () as n from (select distinct lang from documents))")
 def mth_quotas(t: Tables):
-    langs = [r["lang"] for r in t.documents.select("lang").distinct().orderBy("lang").collect()]
-    return t.documents.select("lang").distinct().withColumn("quota", F.element_at(F.create_map(*[F.lit(x) for kv in N.language_quotas(100, langs).items() for x in kv]), F.col("lang")).cast("long"))
+    return S.language_quotas(t.documents.select("lang").distinct(), 100)
 
 
 @query("ev_corpus", "select doc_id, lang, stratum from (select doc_id, lang, case when n_chars > 1000 then 'unknown' else 'control' end as stratum, row_number() over (partition by lang, n_chars > 1000 order by md5(doc_id::varchar || '42')) as r from documents) where r <= case when stratum = 'unknown' then 7 else 3 end")
@@ -391,13 +392,13 @@ def ml_class_weights(t: Tables):
 # --- merges and increments
 
 
-STORED = "select p_partkey as code, case when p_partkey % 5 = 0 then null else p_size end as rev, 'old' as source from part where p_partkey <= 1500"
-INCOMING = "select p_partkey as code, case when p_partkey % 7 = 0 then null else (p_partkey * 13 % 50)::int end as rev, 'new' as source from part where p_partkey > 500"
+STORED = "select p_partkey as code, case when p_partkey % 5 = 0 then null else p_size end as rev, 'old' as source from part where p_size <= 40"
+INCOMING = "select p_partkey as code, case when p_partkey % 7 = 0 then null else (p_partkey * 13 % 50)::int end as rev, 'new' as source from part where p_size > 10"
 
 
 def revisions(t: Tables):
-    old = t.part.where("p_partkey <= 1500").select(F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("rev"), F.lit("old").alias("source"))
-    new = t.part.where("p_partkey > 500").select(F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 7 != 0, (F.col("p_partkey") * 13 % 50).cast("int")).alias("rev"), F.lit("new").alias("source"))
+    old = t.part.where("p_size <= 40").select(F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("rev"), F.lit("old").alias("source"))
+    new = t.part.where("p_size > 10").select(F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 7 != 0, (F.col("p_partkey") * 13 % 50).cast("int")).alias("rev"), F.lit("new").alias("source"))
     return old, new
 
 
@@ -406,10 +407,10 @@ def snk_rev_guard(t: Tables):
     return M.merge_by_revision(*revisions(t))
 
 
-@query("snk_upsert_extraction", "select o_custkey, o_orderpriority, o_orderkey from (select o_custkey, o_orderpriority, o_orderkey, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey > 3000 desc, o_orderkey desc) as r from orders) where r = 1")
+@query("snk_upsert_extraction", "select o_custkey, o_orderpriority, o_orderkey from (select o_custkey, o_orderpriority, o_orderkey, row_number() over (partition by o_custkey, o_orderpriority order by o_orderstatus <> 'F' desc, o_orderkey desc) as r from orders) where r = 1")
 def snk_upsert_extraction(t: Tables):
-    rows = t.orders.select("o_custkey", "o_orderpriority", "o_orderkey")
-    return M.upsert(rows.where("o_orderkey <= 3000"), rows.where("o_orderkey > 3000"), ["o_custkey", "o_orderpriority"], "o_orderkey")
+    rows = t.orders.select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus")
+    return M.upsert(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"), ["o_custkey", "o_orderpriority"], "o_orderkey").drop("o_orderstatus")
 
 
 @query("snk_update_sugar", "select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 0.5 else l_tax end as l_tax from lineitem")
@@ -433,13 +434,23 @@ def snk_raw_snapshot(t: Tables):
     return rows.select("code", F.get_json_object("payload", "$.n_name").alias("n_name"), "source", "dump_version")
 
 
-@query("str_delta_apply", "select user_id, arg_max(event_type, (event_id)) as event_type, max(event_id) as event_id from events group by 1")
+@query("str_delta_apply", "select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events where event_type <> 'click' group by 1")
 def str_delta_apply(t: Tables):
+    from larder.sources import files as Z
+    from larder.sources.sinks import workspace
     from larder.streaming.deltas import apply_files
 
-    rows = t.events.select("user_id", "event_id", "event_type")
-    parts = {k: rows.where(F.dayofmonth("ts") % 3 == k) if k else rows.where("event_id >= 0") for k in (0,)}
-    state, _ = apply_files(rows.limit(0), [(1, "0")], lambda p: parts[int(p)], None, "user_id", "event_id")
+    # A delta file for each kind of event, applied in time order behind the first; after a file that is not there nothing is applied.
+    rows, folder = t.events.select("user_id", "event_id", "event_type"), workspace(t.spark, "deltas")
+    files = [(17000000 + k, f"{folder}/{kind}_{17000000 + k}.json.gz") for k, kind in enumerate(("click", "error", "purchase", "signup", "view"))]
+    for _, path in files:
+        rows.where(F.lit(path).contains(F.concat(F.lit("/"), "event_type", F.lit("_")))).write.option("compression", "gzip").json(path)
+
+    def read(path: str):
+        r = F.col("record")
+        return Z.read_delta_lines(t.spark, path).where("not broken").select(r["user_id"].cast("long").alias("user_id"), r["event_id"].cast("long").alias("event_id"), r["event_type"].alias("event_type"))
+
+    state, _ = apply_files(rows.limit(0), [*files, (17000008, f"{folder}/gone"), (17000009, files[0][1])], read, 17000000, "user_id", "event_id")
     return state.select("user_id", "event_type", "event_id")
 
 
@@ -545,7 +556,7 @@ def txt_prepare(t: Tables):
 @query("txt_sugar_grounded")
 def txt_sugar_grounded(t: Tables):
     forms = t.documents.where("lang = 'en'").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("alias_key")).where(F.length("alias_key") > 4).distinct()
-    aliases = forms.select("alias_key", F.col("alias_key").alias("canonical_name"), F.lit("sugar").alias("kind"))
+    aliases = forms.select("alias_key", F.lit("xx").alias("lang"), F.col("alias_key").alias("canonical_name"), F.lit("sugar").alias("kind"), F.lit(0).alias("line"))
     names = F.filter(F.array_distinct(F.split(F.lower("text"), r"\W+")), lambda w: F.length(w) > 4)  # as no shorter one is a form
     rows = t.documents.select("doc_id", "text", names.alias("names"))
     return A.ground(rows, aliases).select("doc_id", "grounded")
@@ -574,8 +585,7 @@ def top_k_cosine(t: Tables):
 
 @query("vec_search", f"select vec_id from embeddings where label in (2, 3, 4) order by round(list_cosine_similarity(embedding::double[], {QUERY}::double[]), 9) desc, vec_id limit 5")
 def vec_search(t: Tables):
-    kept = t.embeddings.withColumn("nova_group", F.col("label")).where(R.SearchFilters(nova=(2, 3, 4)).predicate())
-    return R.top_k(kept, query_vector(t), 5, "vec_id").select("vec_id")
+    return R.top_k(t.embeddings.where(R.matching(t.embeddings, {"label": (2, 3, 4)})), query_vector(t), 5, "vec_id").select("vec_id")
 
 
 PAIRS = "with p as (select q.vec_id as query, e.vec_id as id, q.label as ql, e.label as el, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as similarity from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query order by round(similarity, 9) desc, id) as rank from p)"

@@ -9,6 +9,7 @@ from larder.functions import text as X
 from larder.operators import corpus as C
 from larder.plans.registry import Tables, query
 from larder.sources import files as S
+from larder.sources import sinks as K
 
 
 def entries(t: Tables):
@@ -20,20 +21,44 @@ def entries(t: Tables):
 ENTRIES = "select conv_id, list({'lang': role, 'text': text} order by turn, role, text) as texts from conversations group by conv_id"
 
 
-@query("src_parquet_dump", "select l_orderkey, l_partkey, l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 45")
+def dump(t: Tables):
+    """Documents as a dump on disk: nested texts and nutrients, tags, codes of which some are no codes."""
+    text = lambda lang, text: F.struct(F.lit(lang).alias("lang") if isinstance(lang, str) else lang.alias("lang"), text.alias("text"))
+    number = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"), value.alias("100g"), F.lit("g").alias("unit"))
+    size = F.col("n_chars").cast("double")
+    rows = t.documents.select(
+        F.when(F.col("source") == "src9", "none").otherwise(F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("code"),
+        "lang",
+        F.array(text("main", F.col("text")), text(F.col("lang"), F.concat(F.lit(" "), "text")), text("pl", F.lit(" "))).alias("ingredients_text"),
+        F.array(text(F.col("lang"), F.col("source"))).alias("product_name"),
+        F.array("source").alias("categories_tags"),
+        F.array(number("fat", size), number("unheard-of", size), number("salt", F.when(size > 900, size / 2))).alias("nutriments"),
+        (F.col("n_chars") > 5000).alias("obsolete"),
+        F.col("n_chars").cast("int").alias("unique_scans_n"),
+        F.lit(1).alias("rev"),
+    )
+    path = K.workspace(t.spark, "dump")
+    rows.write.parquet(path)
+    return S.read_dump(t.spark, path)
+
+
+@query("src_parquet_dump", "select lpad(doc_id::varchar, 8, '0') as code, lang, length(trim(text)) as n from documents where source in ('src1', 'src2', 'src9') and source <> 'src9' and n_chars between 1 and 5000 and lang in ('en', 'fr', 'de') and length(trim(text)) >= 200")
 def src_parquet_dump(t: Tables):
-    return t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select("l_orderkey", "l_partkey", "l_quantity")
+    rows = S.from_dump(dump(t)).where(C.corpus_predicate(("en", "fr", "de"), ("src1", "src2", "src9"), 200))
+    return rows.select("code", "lang", F.length(F.try_element_at("ingredients_text", F.col("lang"))).cast("long").alias("n"))
 
 
-@query("src_parquet_columns", "select doc_id, lang, source, n_chars, coalesce(lang, 'unknown') as lang_or_unknown from documents")
+@query("src_parquet_columns", "select lpad(doc_id::varchar, 8, '0') as code, lang, case when trim(text) = '' then 0 else 1 end as texts, source as name, [source] as categories_tags, n_chars::double as fat, case when n_chars > 900 then n_chars / 2.0 end::double as salt, [] as additives_tags, n_chars > 5000 as obsolete, 'parquet' as source from documents where source <> 'src9'")
 def src_parquet_columns(t: Tables):
-    return t.documents.select("doc_id", "lang", "source", "n_chars", F.coalesce("lang", F.lit("unknown")).alias("lang_or_unknown"))
+    nutrient = lambda name: F.try_element_at("nutriments", F.lit(name)).alias(name)
+    rows = S.from_dump(dump(t))
+    return rows.select("code", "lang", F.size("ingredients_text").alias("texts"), F.try_element_at("product_name", F.col("lang")).alias("name"), "categories_tags", nutrient("fat"), nutrient("salt"), "additives_tags", "obsolete", "source")
 
 
 @query("src_schema_count", "select cast(count(*) as integer) as columns from (describe documents)")
 def src_schema_count(t: Tables):
-    d = t.documents
-    return d.limit(1).select(F.lit(len(d.schema)).alias("columns"))
+    columns = F.lit(len(t.documents.schema))
+    return t.documents.agg(F.coalesce(F.max(columns), columns).alias("columns"))
 
 
 @query("src_point_lookup", "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 7 limit 1")
@@ -41,11 +66,14 @@ def src_point_lookup(t: Tables):
     return t.orders.where("o_orderkey = 7").limit(1).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("src_delta_jsonl", "select event_id, event_type, cast(user_id as varchar) as user_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+@query("src_delta_jsonl", "select lpad(event_id::varchar, 8, '0') as code, event_type as name, user_id::int as rev, value as fat, cast(json_extract(props, '$.k') as double) as salt from events")
 def src_delta_jsonl(t: Tables):
-    lines = t.events.select(F.to_json(F.struct(F.col("event_id").alias("code"), F.col("event_type").alias("kind_en"), F.col("user_id").alias("rev"), "props")).alias("value"))
-    r = F.from_json("value", "map<string,string>")
-    return lines.select(r.alias("r")).select(F.col("r")["code"].cast("long").alias("event_id"), F.col("r")["kind_en"].alias("event_type"), F.col("r")["rev"].alias("user_id"), F.get_json_object(F.col("r")["props"], "$.k").cast("long").alias("k"))
+    nutrients = F.struct(F.col("value").alias("fat_100g"), F.get_json_object("props", "$.k").cast("double").alias("salt_100g"), F.lit("g").alias("fat_unit"))
+    record = F.to_json(F.struct(F.lpad(F.col("event_id").cast("string"), 8, "0").alias("code"), F.lit("en").alias("lang"), F.col("event_type").alias("product_name_en"), F.col("user_id").alias("rev"), nutrients.alias("nutriments")))
+    path = K.workspace(t.spark, "delta")
+    t.events.select(F.explode(F.array(record, F.lit(" "), F.lit("{broken"), F.lit('{"code": "x"}'))).alias("value")).write.option("compression", "gzip").text(path)
+    fat, salt = (F.try_element_at("nutriments", F.lit(n)).alias(n) for n in ("fat", "salt"))
+    return S.from_delta(S.read_delta_lines(t.spark, path)).select("code", F.try_element_at("product_name", F.lit("en")).alias("name"), "rev", fat, salt)
 
 
 @query("src_training_export", "select d.doc_id as code, d.text as ingredients_text, coalesce(d.lang, 'unknown') as lang, l.quality as nutriscore_grade, l.toxic as nova_group from documents d join labels l using (doc_id) where length(d.text) > 10 and (l.quality is not null or l.toxic is not null)")
@@ -74,8 +102,10 @@ def src_sample_materialise(t: Tables):
 @query("src_delta_index", "select 'delta_' || epoch(date_trunc('day', ts))::bigint || '.json.gz' as name, epoch(date_trunc('day', ts))::bigint as timestamp from events group by 1, 2")
 def src_delta_index(t: Tables):
     days = t.events.select(F.unix_timestamp(F.date_trunc("day", "ts")).alias("d")).distinct()
-    names = days.select(F.concat(F.lit("delta_"), F.col("d").cast("string"), F.lit(".json.gz")).alias("name"))
-    return names.withColumn("timestamp", F.regexp_extract("name", r"(\d{9,11})", 1).try_cast("bigint"))
+    path = K.workspace(t.spark, "index")
+    names = days.select(F.explode(F.array(F.concat(F.lit(" delta_"), F.col("d").cast("string"), F.lit(".json.gz")), F.lit("index.txt"), F.lit("none.gz"))).alias("value"))
+    names.write.text(path)
+    return S.parse_index(t.spark, path)
 
 
 @query("flt_delta_watermark", "select name, timestamp from (select 'delta_' || epoch(date_trunc('day', ts))::bigint || '.json.gz' as name, epoch(date_trunc('day', ts))::bigint as timestamp from events group by 1, 2) where timestamp > 1704240000")
@@ -225,12 +255,12 @@ def flt_stratum(t: Tables):
     return t.events.select("event_id", C.stratum(F.floor("value").cast("int") - 5).alias("stratum"))
 
 
-@query("flt_search", "select vec_id from embeddings where label in (1, 2, 3) and vec_id % 2 = 0")
+@query("flt_search", "select vec_id from embeddings where label in (2, 4)")
 def flt_search(t: Tables):
-    from larder.operators.retrieval import SearchFilters
+    from larder.operators.retrieval import matching
 
-    rows = t.embeddings.select("vec_id", F.col("label").alias("nova_group"), F.when(F.col("vec_id") % 2 == 0, "en").otherwise("fr").alias("lang"))
-    return rows.where(SearchFilters(lang="en", nova=(1, 2, 3)).predicate()).select("vec_id")
+    rows = t.embeddings.select("vec_id", "label", F.when(F.col("label") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    return rows.where(matching(rows, {"lang": "en", "label": (1, 2, 3, 4), "vec_id": None})).select("vec_id")
 
 
 @query("flt_gold_predicate", "select p_partkey from part where p_name ilike '%a%' and not (p_name ilike '%b%') and (p_brand = 'Brand#11' or p_size > 20)")
@@ -250,10 +280,10 @@ def flt_done(t: Tables):
     return C.not_done(t.orders.select("o_orderkey"), t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("flt_fresh_hash", "select d.doc_id, d.h from (select doc_id, substr(sha256(text), 1, 32) as h from documents) d left join (select doc_id, substr(sha256(case when doc_id % 10 = 0 then text || '!' else text end), 1, 32) as h from documents where doc_id % 3 <> 0) k on k.doc_id = d.doc_id where k.h is distinct from d.h")
+@query("flt_fresh_hash", "select d.doc_id, d.h from (select doc_id, substr(sha256(text), 1, 32) as h from documents) d left join (select doc_id, substr(sha256(case when source = 'src1' then text || '!' else text end), 1, 32) as h from documents where lang <> 'de') k on k.doc_id = d.doc_id where k.h is distinct from d.h")
 def flt_fresh_hash(t: Tables):
     now = t.documents.select("doc_id", X.short_hash(F.col("text")).alias("h"))
-    known = t.documents.where("doc_id % 3 <> 0").select("doc_id", X.short_hash(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
+    known = t.documents.where("lang <> 'de'").select("doc_id", X.short_hash(F.when(F.col("source") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
     return C.changed(now, known, "doc_id", "h")
 
 
@@ -330,12 +360,9 @@ def lim_scan(t: Tables):
 
 @query("srt_code", "select doc_id, row_number() over (order by doc_id) as place from documents")
 def srt_code(t: Tables):
-    from pyspark.sql import Window
+    from larder.operators.ranking import global_rank
 
-    parts = t.documents.select("doc_id").repartitionByRange("doc_id").withColumn("p", F.spark_partition_id())
-    below = parts.groupBy("p").count().withColumn("below", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy("p").orderBy("doc_id"))
-    return parts.join(F.broadcast(below), "p").select("doc_id", (F.col("below") + within).cast("long").alias("place"))  # a row per partition
+    return global_rank(t.documents.select("doc_id"), ["doc_id"])
 
 
 @query("set_categories", "select source, count(*) as n from documents where source in ('src0', 'src5') group by source")

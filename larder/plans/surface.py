@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from larder.operators import corpus as C
 from larder.operators import merge as M
 from larder.operators import metrics as E
 from larder.operators import predict as U
+from larder.operators import ranking as O
 from larder.operators import retrieval as R
 from larder.operators import sampling as S
 from larder.operators import sqlguard as Q
-from larder.plans.analytics import ALIASES, PAIRS, RESOLVED, alias_table, guesses, name_table, neighbours, query_vector
+from larder.plans.analytics import ALIASES, GUESSES, INCOMING, PAIRS, RESOLVED, SETS, STORED, alias_table, guesses, name_table, neighbours, query_vector, revisions, sets
 from larder.plans.registry import Tables, query
 from larder.plans.scans import ENTRIES, entries
 from larder.sources import files as Z
@@ -26,9 +29,10 @@ from larder.sources import sinks as K
 # --- sources
 
 
-@query("src_dump_version", "select n_nationkey as code, 'size=25;etag=x' as dump_version from nation")
+@query("src_dump_version", "select 'orders.parquet' as name, true as has_version")
 def src_dump_version(t: Tables):
-    return t.nation.select(F.col("n_nationkey").alias("code"), F.lit("size=25;etag=x").alias("dump_version"))
+    found = Z.dump_versions(t.orders)
+    return found.select("name", F.col("dump_version").rlike(r"^size=\d+;modified=\d+$").alias("has_version"))
 
 
 @query("src_dict_jsonl", f"with a as ({ALIASES}) select distinct alias_key, lang, canonical_name from a")
@@ -59,9 +63,9 @@ def src_predictions_dir(t: Tables):
     return K.write_json(rows, K.workspace(t.spark, "predictions")).groupBy("system").agg(F.count("*").alias("predictions"))
 
 
-@query("src_gold_queries", "select vec_id as query, label from embeddings where vec_id % 25 = 0")
+@query("src_gold_queries", "select vec_id as query, label from embeddings")
 def src_gold_queries(t: Tables):
-    return K.write_json(t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), "label"), K.workspace(t.spark, "queries"))
+    return K.write_json(t.embeddings.select(F.col("vec_id").alias("query"), "label"), K.workspace(t.spark, "queries"))
 
 
 @query("src_agent_questions", "select conv_id, text as question from conversations where turn = 0")
@@ -105,25 +109,28 @@ def src_fresh_hashes(t: Tables):
 
 @query("src_local_predictions", "select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') and o_orderpriority = '5-LOW'")
 def src_local_predictions(t: Tables):
+    path = K.workspace(t.spark, "predictions")
+    rows = t.orders.where("o_orderpriority = '5-LOW'").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("c_custkey"))
+    K.write_json(rows, path)
     sample = t.customer.where("c_mktsegment = 'BUILDING'")
-    return t.orders.where("o_orderpriority = '5-LOW'").join(sample, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
+    return Z.read_records(t.spark, path, rows.schema).join(sample, "c_custkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
 # --- sinks
 
 
-@query("snk_upsert_products", "with n as (select p_partkey as code, p_size as rev, 'parquet' as source from part) select code, rev, source, true as has_raw from n")
+@query("snk_upsert_products", f"with s as ({STORED}), n as ({INCOMING}), m as (select coalesce(s.code, n.code) as code, case when s.code is null or (n.code is not null and (s.rev is null or coalesce(n.rev >= s.rev, false))) then n.rev else s.rev end as rev, case when s.code is null or (n.code is not null and (s.rev is null or coalesce(n.rev >= s.rev, false))) then n.source else s.source end as source from s full join n on s.code = n.code) select code, rev, source, source as raw_source from m")
 def snk_upsert_products(t: Tables):
-    rows = t.part.select(F.col("p_partkey").alias("code"), F.col("p_size").alias("rev"), F.lit("parquet").alias("source"), "p_name")
-    raw = M.merge_by_revision(P.raw_snapshot(rows.limit(0), "parquet", None), P.raw_snapshot(rows, "parquet", None))
-    made = M.merge_by_revision(rows.drop("p_name").limit(0), rows.drop("p_name"))
-    return made.join(raw.select("code", F.lit(True).alias("has_raw")), "code", "left")
+    # Both tables of a product, under one guard: an older revision or none changes neither.
+    stored, incoming = revisions(t)
+    raw = M.merge_by_revision(P.raw_snapshot(stored, "old", None), P.raw_snapshot(incoming, "new", "v2"))
+    return M.merge_by_revision(stored, incoming).join(raw.select("code", F.col("source").alias("raw_source")), "code", "left")
 
 
-@query("snk_upsert_alias", "select alias_key, lang, arg_max(canonical_name, line) as canonical_name from (" + ALIASES + ") group by 1, 2")
+@query("snk_upsert_alias", f"with a as ({ALIASES}) select alias_key, lang, arg_max(canonical_name, (kind = 'sugar', line)) as canonical_name from a group by 1, 2")
 def snk_upsert_alias(t: Tables):
     rows = alias_table(t)
-    return M.upsert(rows.limit(0), rows, ["alias_key", "lang"], "line").select("alias_key", "lang", "canonical_name")
+    return M.upsert(rows.where("kind <> 'sugar'"), rows.where("kind = 'sugar'"), ["alias_key", "lang"], "line").select("alias_key", "lang", "canonical_name")
 
 
 @query("snk_sync_dict", f"with a as ({ALIASES}) select alias_key, lang, canonical_name, kind, line from a")
@@ -131,23 +138,23 @@ def snk_sync_dict(t: Tables):
     return K.write_table(alias_table(t), K.workspace(t.spark, "dict"))
 
 
-@query("snk_upsert_embedding", "select vec_id as code, case when vec_id % 2 = 0 then 'new' else 'old' end as profile_hash from embeddings")
+@query("snk_upsert_embedding", "select vec_id as code, case when label >= 5 then 'new' else 'old' end as profile_hash from embeddings")
 def snk_upsert_embedding(t: Tables):
-    rows = t.embeddings.select(F.col("vec_id").alias("code"), F.lit("m").alias("model_name"), F.lit("old").alias("profile_hash"), F.lit(1).alias("version"))
-    return M.upsert(rows, rows.where("code % 2 = 0").withColumn("profile_hash", F.lit("new")), ["code", "model_name"], "version").select("code", "profile_hash")
+    rows = t.embeddings.select(F.col("vec_id").alias("code"), F.lit("m").alias("model_name"), F.lit("old").alias("profile_hash"), F.lit(1).alias("version"), "label")
+    return M.upsert(rows, rows.where("label >= 5").withColumn("profile_hash", F.lit("new")), ["code", "model_name"], "version").select("code", "profile_hash")
 
 
 @query("snk_run_journal", "select 'ingest' as stage, 'completed' as status, count(*) as items_seen, count(*) filter (value > 1) as items_written, count(*) filter (not value > 1) as items_skipped from events")
 def snk_run_journal(t: Tables):
-    n = t.events.agg(F.count("*").alias("seen"), F.count_if(F.col("value") > 1).alias("ok")).first()
-    row = M.journal_row(t.spark, "ingest", "completed", n.seen, n.ok, n.seen - n.ok, {"mode": "delta"})
-    return K.write_table(row, K.workspace(t.spark, "runs")).drop("params", "started_at")
+    counts = t.events.agg(F.count("*").alias("seen"), F.count_if(F.col("value") > 1).alias("written"), F.count_if(~(F.col("value") > 1)).alias("skipped"))
+    return K.write_table(M.journal(counts, "ingest", "completed", mode=F.lit("delta")), K.workspace(t.spark, "runs")).drop("params", "started_at")
 
 
 @query("snk_run_journal_llm", "select 'extract' as stage, count(*) as items_seen, sum(length(text))::bigint as input_tokens from conversations")
 def snk_run_journal_llm(t: Tables):
-    n = t.conversations.agg(F.count("*").alias("seen"), F.sum(F.length("text")).alias("tokens")).first()
-    row = M.journal_row(t.spark, "extract", "completed", n.seen, n.seen, 0, {"model": "m", "input_tokens": str(n.tokens)})
+    n = F.count("*")
+    counts = t.conversations.agg(n.alias("seen"), n.alias("written"), F.lit(0).alias("skipped"), F.sum(F.length("text")).alias("tokens"))
+    row = K.write_table(M.journal(counts, "extract", "completed", model=F.lit("m"), input_tokens=F.col("tokens")), K.workspace(t.spark, "runs"))
     return row.select("stage", "items_seen", F.col("params")["input_tokens"].cast("long").alias("input_tokens"))
 
 
@@ -183,7 +190,7 @@ def snk_vectors(t: Tables):
 @query("snk_zero_shot", "select doc_id as code from documents")
 def snk_zero_shot(t: Tables):
     path, rows = K.workspace(t.spark, "resume"), t.documents.select(F.col("doc_id").alias("code"))
-    K.write_json(rows.where("code % 2 = 0"), path)
+    K.write_json(t.documents.where("lang = 'en'").select(F.col("doc_id").alias("code")), path)
     rest = C.not_done(rows, t.spark.read.schema(rows.schema).json(path), ["code"])
     return K.write_json(rest, path, append=True)
 
@@ -200,10 +207,9 @@ def snk_agent_runs(t: Tables):
     return K.write_json(t.events.groupBy("user_id").agg(steps.alias("steps")), K.workspace(t.spark, "runs"))
 
 
-@query("snk_reports")
+@query("snk_reports", "select '# Documents' || chr(10) || chr(10) || '| lang | n |' || chr(10) || '|---|---|' || chr(10) || coalesce(string_agg('| ' || lang || ' | ' || n || ' |' || chr(10), '' order by lang), '') as report from (select lang, count(*) as n from documents group by 1)")
 def snk_reports(t: Tables):
-    text = K.markdown(t.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang"), "Documents")
-    return t.documents.limit(1).select(F.lit(text).alias("report"))
+    return K.markdown(t.documents.groupBy("lang").agg(F.count("*").alias("n")), "Documents", ["lang"])
 
 
 # --- projections, filters, joins
@@ -222,7 +228,7 @@ def prj_delta_nutriments(t: Tables):
     return t.events.select("event_id", m.alias("m")).select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("fat", "salt")])
 
 
-@query("prj_delta_row", "select cast(o_orderkey as varchar) as code, case o_orderstatus when 'F' then 'fr' else 'en' end as lang, cast(o_custkey as int) as rev, 'delta' as source from orders where o_orderkey >= 1000")
+@query("prj_delta_row", "select cast(o_orderkey as varchar) as code, case o_orderstatus when 'F' then 'fr' else 'en' end as lang, cast(o_custkey as int) as rev, 'delta' as source from orders where length(o_orderkey::varchar) between 4 and 20")
 def prj_delta_row(t: Tables):
     r = t.orders.select(F.map_from_arrays(F.array(F.lit("code"), F.lit("lang"), F.lit("rev"), F.lit("nutriments")), F.array(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", "fr").otherwise("en"), F.col("o_custkey").cast("string"), F.lit("{}"))).alias("record"), F.lit(False).alias("broken"))
     return Z.from_delta(r).select("code", "lang", "rev", "source")
@@ -247,8 +253,8 @@ def flt_corpus_py(t: Tables):
 
 @query("flt_search_obj", "select p_partkey from part where p_brand = 'Brand#11' and p_size in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)")
 def flt_search_obj(t: Tables):
-    rows = t.part.withColumn("categories_tags", F.array("p_brand")).withColumn("nova_group", F.col("p_size"))
-    return rows.where(R.SearchFilters(category="Brand#11", nova=tuple(range(1, 11))).predicate()).select("p_partkey")
+    rows = t.part.withColumn("categories_tags", F.array("p_brand"))
+    return rows.where(R.matching(rows, {"categories_tags": "Brand#11", "p_size": range(1, 11), "p_type": []})).select("p_partkey")
 
 
 @query("flt_nova", "select vec_id, label from embeddings where label in (select label from embeddings group by 1 having count(*) >= 40)")
@@ -281,10 +287,11 @@ def jn_semi_any(t: Tables):
     return t.part.join(t.lineitem.where("l_quantity = 50"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("jn_zip", "select vec_id, len(embedding)::int as dimension from embeddings")
+@query("jn_zip", "select vec_id, round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 4) as weighted from embeddings")
 def jn_zip(t: Tables):
-    both = F.arrays_zip(F.col("embedding").alias("e"), F.transform("embedding", lambda x, k: k).alias("k"))
-    return t.embeddings.select("vec_id", F.size(both).alias("dimension"))
+    both = F.arrays_zip(F.col("embedding").alias("e"), F.transform("embedding", lambda x, k: k + 1).alias("k"))
+    rows = t.embeddings.select("vec_id", F.explode(both).alias("z"))
+    return rows.groupBy("vec_id").agg(F.round(F.sum(F.col("z.e").cast("double") * F.col("z.k")), 4).alias("weighted"))
 
 
 # --- aggregates
@@ -312,10 +319,12 @@ def agg_switch(t: Tables):
     return t.events.agg(one("view").alias("same_s"), one("error").alias("switched_s"))
 
 
-@query("agg_embed_progress", "select count(*) as seen, count(*) filter (doc_id % 3 = 0) as skipped, count(*) filter (doc_id % 3 <> 0) as embedded from documents")
+@query("agg_embed_progress", "select count(*) as seen, count(*) filter (lang = 'fr') as skipped, count(*) filter (lang <> 'fr') as embedded from documents")
 def agg_embed_progress(t: Tables):
-    fresh = F.col("doc_id") % 3 == 0
-    return t.documents.agg(F.count("*").alias("seen"), F.count_if(fresh).alias("skipped"), F.count_if(~fresh).alias("embedded"))
+    now = t.documents.select("doc_id", "lang", X.short_hash(F.col("text")).alias("profile_hash"))
+    todo = C.changed(now, now.where("lang = 'fr'"), "doc_id").select("doc_id", F.lit(True).alias("todo"))
+    done = now.join(todo, "doc_id", "left")
+    return done.agg(F.count("*").alias("seen"), F.count_if(F.col("todo").isNull()).alias("skipped"), F.count("todo").alias("embedded"))
 
 
 @query("agg_count_candidates", "select count(*) as n from documents where length(text) > 1000")
@@ -496,9 +505,12 @@ def ml_run_tfidf(t: Tables):
     return L.scored(found).withColumn("dataset", F.lit("full")).unionByName(L.scored(slice_).withColumn("dataset", F.lit("common")))
 
 
-@query("ml_score_pair", "select lang, round(count(*) * 1.5 / 1000, 6) as seconds from documents group by 1")
+@query("ml_score_pair", f"with g as ({GUESSES}) select 'length' as system, count(*) as products, round(avg(case when truth = guess then 1.0 else 0 end), 6) as accuracy from g union all select 'always', count(*), round(avg(case when truth = '1' then 1.0 else 0 end), 6) from g")
 def ml_score_pair(t: Tables):
-    return t.documents.groupBy("lang").agg(F.round(F.count("*") * F.lit(1.5) / 1000, 6).alias("seconds"))
+    g = guesses(t)
+    pair = {"length": g, "always": g.withColumn("guess", F.lit("1"))}
+    one, two = (L.scored(rows, "truth", "guess").select(F.lit(name).alias("system"), "products", F.round("accuracy", 6).alias("accuracy")) for name, rows in pair.items())
+    return one.unionByName(two)
 
 
 @query("ml_run_embeddings")
@@ -519,10 +531,10 @@ def ml_zero_shot(t: Tables):
     return answers.select("code", F.coalesce(F.get_json_object("payload", "$.label"), F.lit("")).alias("predicted"))
 
 
-@query("ml_embed_corpus", "select doc_id as code from documents where doc_id % 4 <> 0")
+@query("ml_embed_corpus", "select doc_id as code from documents where lang <> 'es'")
 def ml_embed_corpus(t: Tables):
-    now = t.documents.select(F.col("doc_id").alias("code"), "text", X.short_hash(F.col("text")).alias("profile_hash"))
-    todo = C.changed(now, now.where("code % 4 = 0").select("code", "profile_hash"))
+    now = t.documents.select(F.col("doc_id").alias("code"), "text", "lang", X.short_hash(F.col("text")).alias("profile_hash"))
+    todo = C.changed(now, now.where("lang = 'es'").select("code", "profile_hash"))
     return U.embed(todo, lambda: U.HashedNgrams(16), "code", "text").where(F.size("embedding") == 16).select("code")
 
 
@@ -540,16 +552,19 @@ def vec_by_text(t: Tables):
     return R.top_k(vectors, U.HashedNgrams(64).embed([text])[0], 1, "doc_id").select(F.col("doc_id").alias("id"))
 
 
-@query("str_delta_file", "select user_id, max(event_id) as event_id from events where value > 1 group by 1")
+@query("str_delta_file", "select user_id, max(event_id) as event_id from events where value > 1 or event_type = 'view' group by 1")
 def str_delta_file(t: Tables):
+    # What is stored meets a file of which some rows fail validation, and newer rows win.
+    stored = M.newest(t.events.where("event_type = 'view'").select("user_id", "event_id"), ["user_id"], F.desc("event_id"))
     rows = M.quarantine(t.events, {"value": F.col("value") > 1})[0].select("user_id", "event_id")
-    return M.merge_by_revision(rows.limit(0), rows, "user_id", "event_id")
+    return M.merge_by_revision(stored, rows, "user_id", "event_id")
 
 
 @query("str_late_data", "select user_id, max(event_id) as event_id from events group by 1")
 def str_late_data(t: Tables):
-    rows = t.events.select("user_id", "event_id")
-    early, late = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
+    rows = t.events.select("user_id", "event_id", "event_type")
+    early, late = (rows.where(f"{no} event_type in ('view', 'click')").drop("event_type") for no in ("", "not"))
+    rows = rows.drop("event_type")
     first = M.merge_by_revision(rows.limit(0), late, "user_id", "event_id")
     return M.merge_by_revision(first, early, "user_id", "event_id")
 
@@ -565,16 +580,15 @@ def str_stream_state(t: Tables):
 
     source, table = K.workspace(t.spark, "stream-in"), K.workspace(t.spark, "stream-table")
     t.events.select("user_id", "event_id").repartition(3).write.parquet(source)
-    version = stream_merge(t.spark, source, "user_id long, event_id long", table, K.workspace(t.spark, "stream-checkpoint"), "user_id", "event_id")
-    return t.spark.read.parquet(f"{table}/v{version}")
+    return stream_merge(t.spark, source, "user_id long, event_id long", table, K.workspace(t.spark, "stream-checkpoint"), "user_id", "event_id")
 
 
 # --- evaluation flows
 
 
-@query("ev_collect", "select l_returnflag as system, count(*) as products, round(avg(l_discount), 6) as score from lineitem group by 1")
+@query("ev_collect", f"with s as ({SETS}), c as (select lang, sum(len(list_intersect(gold, pred)))::bigint as tp, sum(len(list_filter(pred, lambda x: not list_contains(gold, x))))::bigint as fp, sum(len(list_filter(gold, lambda x: not list_contains(pred, x))))::bigint as fn from s group by 1) select lang, tp, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall from c")
 def ev_collect(t: Tables):
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("system")).agg(F.count("*").alias("products"), F.round(F.avg("l_discount"), 6).alias("score"))
+    return E.micro_prf(sets(t), "gold", "pred", ["lang"]).select("lang", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall")])
 
 
 @query("ev_report", "select lang, count(*) filter (text = '') as zero, round(max(n_chars) - min(n_chars), 0)::bigint as gap from documents group by 1")
@@ -636,9 +650,9 @@ def ev_per_language(t: Tables):
     return L.by_language(guesses(t), "truth", "guess", 10).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("sql_gold", "select vec_id from embeddings where label = 3 or (label > 5 and not vec_id % 2 = 0)")
+@query("sql_gold", "select vec_id from embeddings where label = 3 or (label > 5 and not label = 8)")
 def sql_gold(t: Tables):
-    return t.embeddings.where(R.gold_predicate("label = 3 OR (label > 5 AND NOT vec_id % 2 = 0)")).select("vec_id")
+    return t.embeddings.where(R.gold_predicate("label = 3 OR (label > 5 AND NOT label = 8)")).select("vec_id")
 
 
 @query("udf_rag", f"{PAIRS}, s as (select query, list_sort(list(id) filter (similarity >= 0.2)) as sources from r where rank <= 5 group by 1) select query, coalesce(len(sources), 0) = 0 as refused, coalesce(len(sources), 0)::int as n_sources from s")
@@ -652,6 +666,39 @@ def udf_embed_check(t: Tables):
     return U.embed(t.documents, lambda: U.HashedNgrams(8), "doc_id", "text").select("doc_id", F.size("embedding").alias("dimension"))
 
 
-@query("udf_benchmark", "select event_type, count(*) as n, round(quantile_cont(value, 0.5), 4) as median_s from events group by 1")
+@query("udf_benchmark", "select role, count(*) as n, (list_sort(list(length(text)))[(count(*) + 1) // 2] + list_sort(list(length(text)))[count(*) // 2 + 1]) / 2 as median_length, list_sort(list(length(text)))[least((count(*) * 95) // 100, count(*) - 1) + 1] as p95_length from conversations group by 1")
 def udf_benchmark(t: Tables):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(N.median(F.col("value")), 4).alias("median_s"))
+    rows = t.conversations.select("role", F.length("text").cast("long").alias("length"))
+    placed = O.order_statistics(rows, ["role"], "length", {"a": O.lower_middle(), "b": O.upper_middle(), "p95_length": O.at_share(0.95)})
+    return placed.join(rows.groupBy("role").agg(F.count("*").alias("n")), "role").select("role", "n", ((F.col("a") + F.col("b")) / 2).alias("median_length"), "p95_length")
+
+
+# --- the guarded SELECT surface
+
+
+#: Statements over customers as products, and over a view they may not read.
+STATEMENTS = {
+    "plain": "SELECT c_custkey FROM products WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 15",
+    "with": "WITH x AS (SELECT c_mktsegment, count(*) AS n FROM products GROUP BY 1) SELECT n FROM x ORDER BY n LIMIT 3",
+    "nested": "SELECT max(c_acctbal) AS m FROM products WHERE c_custkey IN (SELECT c_custkey FROM products WHERE c_acctbal < 0) LIMIT 5",
+    "shadow": "WITH secret AS (SELECT * FROM secret) SELECT s.* FROM secret s, products LIMIT 5",
+    "function": "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM products LIMIT 1",
+    "range": "SELECT id FROM range(1000000), products LIMIT 5",
+    "other table": "SELECT * FROM products WHERE c_custkey IN (SELECT o_custkey FROM secret) LIMIT 5",
+    "no limit": "SELECT c_custkey FROM products",
+    "write": "INSERT INTO products SELECT * FROM products LIMIT 1",
+}
+
+
+@query("sql_guard", "select 'plain' as statement, true as allowed, (select count(*) from (select c_custkey from customer where c_acctbal > 0 limit 15)) as rows union all select 'with', true, (select least(count(distinct c_mktsegment), 3) from customer) union all select 'nested', true, 1 union all select unnest(['shadow', 'function', 'range', 'other table', 'no limit', 'write']), false, 0")
+def sql_guard(t: Tables):
+    t.customer.createOrReplaceTempView("products")
+    t.orders.createOrReplaceTempView("secret")
+    out = []
+    for name, statement in STATEMENTS.items():
+        try:
+            found = Q.run_sql(t.spark, statement).agg(F.count("*").alias("rows"), F.lit(True).alias("allowed"))
+        except Q.RejectedSQL:
+            found = t.customer.limit(0).agg(F.count("*").alias("rows"), F.lit(False).alias("allowed"))
+        out.append(found.select(F.lit(name).alias("statement"), "allowed", "rows"))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -12,7 +12,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-#: The nested Parquet dump as it is written: lists of structs for texts and nutrients.
+# Names and types of the nested Parquet dump as it is written.
 DUMP = T.StructType(
     [
         T.StructField("code", T.StringType()),
@@ -40,7 +40,7 @@ DUMP = T.StructType(
     ]
 )
 
-#: The one row type that both sources are brought to.
+# Names of the one row type that both sources are brought to.
 RAW_PRODUCT = _struct(
     code=T.StringType(), lang=T.StringType(), ingredients_text=_TEXTS, product_name=_TEXTS, generic_name=_TEXTS, brands=T.StringType(),
     categories_tags=_TAGS, labels_tags=_TAGS, nutriscore_grade=T.StringType(), nova_group=T.IntegerType(),

@@ -25,6 +25,13 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
         raise SourceError(f"no dump at {path}") from e
 
 
+def dump_versions(dump: DataFrame) -> DataFrame:
+    """(name, dump_version) of a dump's files: size and time of change, which tell one state of a file from another."""
+    at = F.unix_timestamp(F.col("_metadata.file_modification_time")).cast("string")
+    version = F.concat(F.lit("size="), F.col("_metadata.file_size").cast("string"), F.lit(";modified="), at)
+    return dump.select(F.col("_metadata.file_name").alias("name"), version.alias("dump_version")).distinct()
+
+
 def from_dump(dump: DataFrame) -> DataFrame:
     """Dump rows to the canonical row; rows without a valid code are left out."""
     tags = lambda c: F.coalesce(c, F.array().cast(_NONE)).alias(c)

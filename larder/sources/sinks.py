@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.session import shared_folder
+
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors see; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-larder-')}"
-    return f"{root.rstrip('/')}/larder-core/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_folder(spark)}/larder-core/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(frame: DataFrame, path: str, *partitions: str) -> DataFrame:
@@ -33,12 +33,14 @@ def score_name(system: str) -> str:
     return system.replace(":", "_").replace("/", "_")
 
 
-def markdown(rows: DataFrame, title: str, limit: int = 50) -> str:
-    """A small result as a Markdown table; a report shows at most limit rows."""
-    found = rows.limit(limit).collect()
-    cell = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in found]]) + "\n"
+def markdown(rows: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """One row, report: a small table as Markdown, whole and in that order; an empty one has its head alone."""
+    columns = [c for c, _ in rows.dtypes]
+    cell = lambda c, kind: F.coalesce(F.format_string("%.4f", c) if kind in ("double", "float") else F.col(c).cast("string"), F.lit("None"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c, kind) for c, kind in rows.dtypes]), F.lit(" |\n"))
+    lines = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], line.alias("line"))))
+    head = f"# {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    return rows.agg(lines.alias("lines")).select(F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("report"))
 
 
 def redact(text, secrets: list[str]):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import numbers as N
@@ -18,6 +20,7 @@ from larder.operators import gate as G
 from larder.operators import merge as M
 from larder.operators import metrics as E
 from larder.operators import predict as U
+from larder.operators import ranking as O
 from larder.operators import sampling as S
 from larder.operators import sqlguard as Q
 from larder.schemas import DUMP, LANGUAGES, PREDICTION
@@ -102,9 +105,13 @@ def test_stream_and_files_end_in_the_same_state(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"f{k}"))
     state, mark = D.apply_files(spark.createDataFrame([], schema), [(k, str(tmp_path / f"f{k}")) for k in range(3)] + [(9, str(tmp_path / "gone"))], lambda p: spark.read.parquet(p), None)
     assert mark == 2
-    version = D.stream_merge(spark, str(tmp_path / "in"), schema, str(tmp_path / "table"), str(tmp_path / "cp"), "code", "rev")
+    merged = lambda: {tuple(r) for r in D.stream_merge(spark, str(tmp_path / "in"), schema, str(tmp_path / "table"), str(tmp_path / "cp"), "code", "rev").collect()}
     want = {("a", 3, "a3"), ("b", 5, "b5"), ("c", 1, "c1")}
-    assert {tuple(r) for r in state.collect()} == want == {tuple(r) for r in spark.read.parquet(str(tmp_path / f"table/v{version}")).collect()}
+    assert {tuple(r) for r in state.collect()} == want == merged()
+    assert merged() == want  # no new files
+    spark.createDataFrame([("d", 1, "d1"), ("a", 1, "old")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert merged() == want | {("d", 1, "d1")}
+    assert D.read_state(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_windows_on_a_stream_equal_those_on_a_batch(spark, tmp_path):
@@ -126,12 +133,30 @@ def test_text_functions(spark):
     assert (row.brand, row.tag, row.ru, row.short, row.cited, row.code, row.m1, row.m2, row.tokens) == ("A", "en:", "ru", "", ["123456", "999999"], "123456", True, False, True)
 
 
-def test_grounding_cases():
-    forms = {"sugar": ["sugar", "сахар"], "glucose syrup": ["glucose syrup"], "glucose-fructose syrup": ["glucose fructose syrup"], "honey": ["honey"]}
-    assert A.grounded(["sugar", "honey"], "Sugars, salt", forms) == ["sugar"]
-    assert A.grounded(["sugar"], "без сахара", forms) == ["sugar"]
-    assert A.grounded(["glucose syrup", "glucose-fructose syrup"], "glucose fructose syrup", forms) == ["glucose-fructose syrup"]
-    assert A.grounded(["glucose syrup"], "syrup of glucose", forms) == ["glucose syrup"] and A.grounded(["honey"], "", forms) == []
+FORMS = {"sugar": ["sugar", "сахар"], "glucose syrup": ["glucose syrup", "глюкозный сироп"], "glucose-fructose syrup": ["glucose fructose syrup", "глюкозно фруктозный сироп"], "honey": ["honey"], "glucose": ["glucose"]}
+GROUNDING = [
+    (["sugar", "honey"], "Sugars, salt", ["sugar"]),
+    (["sugar"], "без сахара", ["sugar"]),
+    (["sugar"], "несахар", []),
+    (["glucose syrup", "Glucose-Fructose Syrup"], "water, glucose-fructose syrup", ["glucose-fructose syrup"]),
+    (["glucose", "glucose fructose syrup"], "Water, glucose-fructose syrup", ["glucose-fructose syrup"]),
+    (["glucose", "glucose fructose syrup"], "Glucose-fructose syrup, water, glucose", ["glucose", "glucose-fructose syrup"]),
+    (["glucose-fructose syrup"], "Мука, сироп глюкозно-фруктозный", ["glucose-fructose syrup"]),
+    (["glucose-fructose syrup"], "Вода, сироп из топинамбура", []),
+    (["Сахар", "salt"], "SUGAR", ["sugar"]),
+    (["honey"], "", []),
+    (None, "honey", []),
+    (["honey", None], None, []),
+]
+
+
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_grounding_cases(spark, monkeypatch, bound):
+    monkeypatch.setattr(A, "MAX_BROADCAST", bound)
+    aliases = [(alias, "xx", name, "sugar", k) for k, (name, own) in enumerate(FORMS.items()) for alias in own] + [("salt", "xx", "salt", "base", 9)]
+    frame = spark.createDataFrame([(k, *case[:2]) for k, case in enumerate(GROUNDING)], "id int, names array<string>, text string")
+    got = {r.id: r.grounded for r in A.ground(frame, spark.createDataFrame(aliases, "alias_key string, lang string, canonical_name string, kind string, line int")).collect()}
+    assert got == {k: case[2] for k, case in enumerate(GROUNDING)}
 
 
 def test_dictionary_file(spark, tmp_path):
@@ -154,9 +179,25 @@ def test_macro_f1_counts_labels_seen_only_in_predictions(spark):
 
 
 def test_order_statistics(spark):
-    row = spark.createDataFrame([(float(k),) for k in range(1, 5)], "x double").agg(N.median(F.col("x")), N.upper_median(F.col("x")), N.index_percentile(F.col("x"))).first()
-    assert tuple(row) == (2.5, 3.0, 4.0)
-    assert N.language_quotas(7, ["de", "en", "fr"]) == {"de": 3, "en": 2, "fr": 2}
+    assert spark.createDataFrame([(float(k),) for k in range(1, 5)], "x double").agg(N.median(F.col("x"))).first()[0] == 2.5
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 1.0, 2.0, 2.5, rnd.random()])) for _ in range(400)] + [("one", 5.0), ("none", None)]
+    ranks = {"a": O.lower_middle(), "b": O.upper_middle(), "p": O.at_share(0.95)}
+    got = {r.g: (r.a, r.b, r.p) for r in O.order_statistics(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", ranks).collect()}
+    groups = {g: sorted(x for h, x in rows if h == g and x is not None) for g in ("a", "b", None, "one")}
+    assert got == {g: (v[(len(v) - 1) // 2], v[len(v) // 2], v[min(int(0.95 * len(v)), len(v) - 1)]) for g, v in groups.items()}
+    placed = O.global_rank(spark.createDataFrame([(k * 7 % 100, "z") for k in range(100)], "x int, place2 string").repartition(5), ["x"]).collect()
+    assert all(r.place == r.x + 1 for r in placed) and len(placed) == 100 and O.global_rank(spark.createDataFrame([], "x int"), ["x"]).count() == 0
+    assert {r.lang: r.quota for r in S.language_quotas(spark.createDataFrame([("de",), ("fr",), ("en",)], "lang string"), 7).collect()} == {"de": 3, "en": 2, "fr": 2}
+
+
+def test_quota_sample_equals_a_window(spark):
+    rows = [(k, "abc"[k % 3] if k % 10 else None, k % 2) for k in range(700)]
+    frame = spark.createDataFrame(rows, "code long, g string, h int")
+    nth = F.row_number().over(Window.partitionBy("g", "h").orderBy(X.shuffle_key(F.col("code"))))
+    want = frame.withColumn("n", nth).where(F.col("n") <= F.when(F.col("h") == 1, 9).otherwise(200)).drop("n")
+    got = S.quota_sample(frame, ["g", "h"], F.when(F.col("h") == 1, 9).otherwise(200))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_gate(spark):
@@ -168,7 +209,7 @@ def test_gate(spark):
     assert G.run_gate(1, 1, base, metrics(("a", 0.60), ("b", 0.5)), "x", "x")[0] == "regress"  # doubles: 0.63 - 0.60 is above 0.03
 
 
-@pytest.mark.parametrize("sql", ["", "DELETE FROM products", "SELECT 1; SELECT 2", "SELECT * FROM products", "SELECT * FROM secrets LIMIT 5", "SELECT * FROM products, secrets LIMIT 5", "SELECT * FROM products WHERE code IN (SELECT code FROM secrets) LIMIT 5", "SELECT * FROM `secrets` LIMIT 5", "DROP TABLE products", "SELECT 1 LIMIT 1", "WITH x AS (SELECT * FROM secrets) SELECT * FROM x LIMIT 3"])
+@pytest.mark.parametrize("sql", ["", "DELETE FROM products", "SELECT 1; SELECT 2", "SELECT * FROM products", "SELECT * FROM secrets LIMIT 5", "SELECT * FROM products, secrets LIMIT 5", "SELECT * FROM products WHERE code IN (SELECT code FROM secrets) LIMIT 5", "SELECT * FROM `secrets` LIMIT 5", "DROP TABLE products", "SELECT 1 LIMIT 1", "WITH x AS (SELECT * FROM secrets) SELECT * FROM x LIMIT 3", "WITH secret AS (SELECT * FROM secret) SELECT s.* FROM secret s, products LIMIT 5", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM products LIMIT 1", "SELECT id FROM range(1000000), products LIMIT 5", "SELECT * FROM parquet.`/tmp` LIMIT 1", "WITH RECURSIVE r AS (SELECT 1 AS id UNION ALL SELECT id + 1 FROM r) SELECT r.id FROM r, products LIMIT 3", "WITH a AS (SELECT id FROM products) SELECT * FROM (WITH products AS (SELECT * FROM secret) SELECT * FROM products) LIMIT 1"])
 def test_guard_rejects(spark, sql):
     with pytest.raises(Q.RejectedSQL):
         Q.validate_sql(spark, sql)
@@ -219,5 +260,6 @@ def test_profile_and_records(spark, tmp_path):
 
 
 def test_journal_and_watermark(spark):
-    runs = M.journal_row(spark, "ingest", "completed", 5, 4, 1, {"mode": "delta", "watermark": "17"}).union(M.journal_row(spark, "ingest", "failed", 5, 4, 1, {"mode": "delta", "watermark": "99"}))
+    counts = spark.createDataFrame([(5, 4, 1, 17)], "seen int, written int, skipped int, last int")
+    runs = M.journal(counts, "ingest", "completed", mode=F.lit("delta"), watermark=F.col("last")).union(M.journal(counts, "ingest", "failed", mode=F.lit("delta"), watermark=F.lit(99)))
     assert M.last_watermark(runs).first()[0] == 17 and M.last_watermark(runs.limit(0)).first()[0] is None

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions.text import key_words
 from larder.operators import aliases as A
 from larder.operators import retrieval as R
 from larder.operators import sampling as S
@@ -47,28 +47,10 @@ def test_names_of_the_whole_text_are_grounded(spark):
     words = {i: re.split(r"[^a-z0-9_]+", (r.text or "").lower(), flags=re.ASCII) for i, r in docs.items()}
     forms = {w: [w] for i, r in docs.items() if r.lang == "en" for w in words[i] if len(w) > 4}
     got = {r.doc_id: r.grounded for r in QUERIES["txt_sugar_grounded"](spark, FOLDER).collect()}
-    assert got == {i: A.grounded([w for w in words[i] if w in forms], r.text or "", forms) for i, r in docs.items()}
+    assert got == {i: A.grounded([w for w in words[i] if w in forms], key_words(r.text), {w: [w.split()] for w in forms}) for i, r in docs.items()}
     assert any(set(got[i]) - set(words[i][:5]) for i in docs)
 
 
-def test_dictionary_beyond_the_bound_is_joined(spark, monkeypatch):
-    aliases = spark.createDataFrame([(f"name{k}", f"form{k}", "sugar") for k in range(50)] + [("name1", "other form", "sugar"), ("salt", "salt", "base")], "canonical_name string, alias_key string, kind string")
-    rows = spark.createDataFrame([(1, ["name1", "name49", "name7", "salt"], "Form of other, form49"), (1, ["name1", "name49", "name7", "salt"], "Form of other, form49"), (2, ["none"], "form1"), (3, None, None), (4, ["name3"], None)], "id long, names array<string>, text string")
-    want = [(1, ["name1", "name49"]), (1, ["name1", "name49"]), (2, []), (3, []), (4, [])]
-    for bound in (200_000, 10):
-        monkeypatch.setattr(A, "MAX_BROADCAST", bound)
-        assert sorted((r.id, r.grounded) for r in A.ground(rows, aliases).collect()) == want
-
-
-def test_mentions_are_where_the_pattern_finds_them():
-    rnd = random.Random(4)
-    for _ in range(20_000):
-        text = "".join(rnd.choice("aAbÉé²ß_1 \t-") for _ in range(rnd.randrange(14)))
-        alias = "".join(rnd.choice("abé²ß1 ") for _ in range(rnd.randrange(1, 4)))
-        m = A._pattern(alias).search(text)
-        assert A._mention(alias, text, text.lower()) == (m and m.span()), (alias, text)
-
-
 @shared
 def test_index_finds_the_nearest(spark):
     got = {(r.query, r.id) for r in QUERIES["vec_index"](spark, FOLDER).collect()}
