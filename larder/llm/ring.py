@@ -11,10 +11,14 @@ Rows between two nodes (an arc) share their whole way round the ring, so overflo
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.llm.ranks import class_ranks
+from larder.llm.scratch import Scratch
+
 PLACES = 1 << 16
 
 
@@ -53,31 +57,41 @@ def overflow(nodes: list[tuple[int, int]], counts: list[int], shards: int) -> li
     return pieces
 
 
+def _ring(spark: SparkSession, shards: int, replicas: int) -> DataFrame:
+    """(place, arc, home_shard) of all PLACES: the next node clockwise, made by Spark from the nodes' hashes as ``arcs`` does."""
+    names = spark.range(shards * replicas).select((F.col("id") / replicas).cast("int").alias("shard"), (F.col("id") % replicas).alias("k"))
+    digest = F.sha2(F.concat_ws(":", F.col("shard").cast("string"), F.col("k").cast("string")), 256)
+    nodes = names.select("shard", F.conv(F.substring(digest, 13, 4), 16, 10).cast("int").alias("place")).groupBy("place").agg(F.min("shard").alias("shard"))
+    nodes = nodes.withColumn("arc", F.row_number().over(Window.orderBy("place")) - 1)  # shards * replicas rows
+    first = nodes.groupBy().agg(F.min_by("shard", "place").alias("first_shard"))
+    at = spark.range(PLACES).select(F.col("id").cast("int").alias("place")).join(nodes, "place", "left")
+    ahead = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # PLACES rows, always
+    next_node = F.last(F.when(F.col("arc").isNotNull(), F.struct("arc", "shard")), ignorenulls=True).over(ahead)
+    return at.select("place", next_node.alias("n")).crossJoin(first).select("place", F.coalesce("n.arc", F.lit(0)).alias("arc"), F.coalesce("n.shard", "first_shard").alias("home_shard"))  # one row
+
+
 def ring_shards(docs: DataFrame, shards: int = 40, replicas: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, size, text_crc32, law, shard, slot, grown_shard, home_shard.
 
     size is the text's UTF-8 bytes (null: none) plus 16; text_crc32 the unsigned CRC-32 of those bytes. law is
     ``rows``: counts of shards are at most one apart. home_shard is where the ring alone would put the row; slot
     counts a shard's rows from 0 without gaps; grown_shard is null under this law. A null id is a key like any other,
-    placed by its text; rows that repeat an id and text are told apart by rank alone and share a home; null texts
-    are empty. Other columns of docs are ignored, whatever their names; an empty table gives an empty result.
+    placed by its text; rows that repeat an id share a home and are told apart by rank alone, however many they are;
+    null texts are empty. Other columns of docs are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "ring")
     nodes = arcs(shards, replicas)
-    owner, arc = [], 0
-    for place in range(PLACES):
-        while arc < len(nodes) and nodes[arc][0] < place:
-            arc += 1
-        owner.append((place, arc % len(nodes), nodes[arc % len(nodes)][1]))
-    ring = F.broadcast(spark.createDataFrame(owner, "place int, arc int, home_shard int"))  # 65,536 rows, always
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(F.col(id_col).cast("long")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
-    rows = rows.withColumn("place", F.pmod("key", F.lit(PLACES)).cast("int")).join(ring, "place")
+    rows = rows.withColumn("place", F.pmod("key", F.lit(PLACES)).cast("int")).join(F.broadcast(_ring(spark, shards, replicas)), "place")
+    rows = scratch.put(rows.drop("place").withColumn("turn", F.monotonically_increasing_id()), "rows")
 
-    counted = dict(docs.select(F.pmod(key, F.lit(PLACES)).cast("int").alias("place")).join(ring, "place").groupBy("arc").count().collect())  # at most shards * replicas
+    counted = dict(rows.groupBy("arc").count().collect())  # at most shards * replicas
     pieces = overflow(nodes, [counted.get(k, 0) for k in range(len(nodes))], shards)
-    plan = F.broadcast(spark.createDataFrame(pieces, "arc int, lo long, hi long, shard int, slot0 long"))  # at most shards * shards * replicas
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("key", "doc_id", "size", "text_crc32")).cast("long") - 1)
-    placed = ranked.join(plan, "arc").where("rank >= lo and rank < hi")
-    return placed.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+    kind = "array<struct<arc:int,lo:bigint,hi:bigint,to:int,slot0:bigint>>"
+    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(("arc", "lo", "hi", "to", "slot0"), p, strict=True)) for p in pieces])), kind)).alias("p")).select("p.*")
+    # A piece ends with an arc or with a shard, or passes a full shard by: at most shards * (arcs + shards) rows.
+    placed = class_ranks(rows, "arc", "turn", ["key", "doc_id", "size", "text_crc32"]).join(F.broadcast(plan), "arc").where("rank >= lo and rank < hi")
+    return placed.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("to").alias("shard"), (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")

@@ -41,4 +41,19 @@ def test_movement_is_limited(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text", "'x' as shard")
     got = ring_shards(rows, shards=8, replicas=256).collect()
     assert sum(r.shard != r.home_shard for r in got) < 0.2 * len(got)
+    grown = {r.doc_id: r.shard for r in ring_shards(rows, shards=9, replicas=256).collect()}
+    moved = [grown[r.doc_id] for r in got if grown[r.doc_id] != r.shard]
+    assert 4000 // 9 <= len(moved) < 0.3 * len(got) and sum(s == 8 for s in moved) > 0.5 * len(moved)
     assert ring_shards(rows.limit(0)).count() == 0
+
+
+def test_one_key_on_most_rows_is_ranked_in_parts(spark, monkeypatch):
+    from larder.llm import ranks, ring
+
+    monkeypatch.setattr(ring, "class_ranks", lambda *a: ranks.class_ranks(*a, part=50))
+    rows = [(7, "same")] * 900 + [(i, "x") for i in range(100)]
+    got = ring_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=6).collect()
+    per = Counter(r.shard for r in got)
+    assert len(got) == 1000 and max(per.values()) - min(per.values()) <= 1
+    for s in per:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
