@@ -16,14 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.ranks import class_ranks
 from larder.llm.scratch import Scratch
 
-#: Classes of equal length are counted in so many parts, so that no class is ranked by one task.
-PARTS = 64
-
 
 class RoomTree:
     """How many open sequences have each remaining capacity; finds the least capacity of at least some size."""
@@ -137,18 +135,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "packing")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, start long, length int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = scratch.put(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema).withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces")
+    pieces = scratch.put(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema).withColumn("turn", F.monotonically_increasing_id()), "pieces")
 
-    # At most capacity * PARTS counts, however many documents there are.
-    counts = scratch.put(pieces.groupBy("length", "part").count(), "counts")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"))
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    # At most capacity counts, however many documents there are; the plan's size depends on them alone.
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_decreasing(lengths, capacity)
     placed = spark.createDataFrame(plan or [(0, 0, 0, 0, 1, 0)], "length int, lo long, hi long, first long, each long, base long")
 
-    ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("below") + F.col("nth"))
+    slim = pieces.select("turn", "id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids)
+    ranked = class_ranks(slim, "length", "turn", ["id", "start", "ids_crc32"])
     out = ranked.join(F.broadcast(placed), "length").where("rank >= lo and rank < hi")
     nth = F.col("rank") - F.col("lo")
     return out.select(F.col("id").alias(id_col), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"), *["ids"] * with_ids)

@@ -91,3 +91,13 @@ def test_pack(spark):
     rests = [r.length for r in got]
     assert len(spans) == len(one_by_one(rests, 1024))
     assert pack(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+
+
+def test_very_many_full_windows_are_ranked_in_parts(spark, monkeypatch):
+    from larder.llm import packing, ranks
+
+    monkeypatch.setattr(packing, "class_ranks", lambda *a: ranks.class_ranks(*a, part=7))
+    got = pack(spark.createDataFrame([(k % 3, "a b " * 900, 1) for k in range(30)], "doc_id long, text string, sequence_id int").repartition(4), RANKS, capacity=64).collect()
+    full = [r for r in got if r.length == 64]
+    assert len(full) > 800 and len({r.sequence_id for r in full}) == len(full) and {r.offset for r in full} == {0}
+    assert sum(r.length for r in got) == 30 * got[0].doc_tokens
