@@ -32,6 +32,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TERM_GAP = r"[^\p{L}\p{N}]+"
+#: Entities, and terms, of a text that meet in one task.
+SQUARE = 1000
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -109,31 +111,49 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     holders = scratch.put(found.where(F.size("base") > 0).groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "holders")
     held = holders.select("text_hash", "copies", F.explode("entities").alias("entity"))
     protected = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
-    linked = held.join(protected, "entity").select("text_hash", "entity", "copies")
-    met = linked.join(holders.select("text_hash", "terms"), "text_hash").select("entity", "copies", F.explode("terms").alias("term"))
+    protected = scratch.put(protected, "protected")
+    rows, most = found.count(), protected.agg(F.max("n_e")).first()[0] or 0
+
+    # A term in n_t documents can disclose an entity in n_e of rows only if n_t <= rows ** (1 - d) * n_e ** d, so terms
+    # that are more common among the holders alone can't; nor can those that meet no entity in enough texts.
+    spoken = holders.select("text_hash", "copies", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("terms").alias("term"))
+    likely = spoken.groupBy("term").agg(F.sum("copies").alias("n"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n") <= 1.000001 * max(rows, 1) ** (1 - disclosure) * most**disclosure))
+    likely = scratch.put(likely.select("term"), "likely")
+    # A text with very many entities and terms is dealt out in squares of bounded size.
+    square = lambda n: F.ceil(F.col(n) / SQUARE).cast("int")
+    own = lambda value, n: F.pmod(F.xxhash64(value), square(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), square(n) - 1))
+    linked = holders.select("text_hash", "copies", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("entities").alias("entity")).where("terms > 0").join(protected.select("entity"), "entity")
+    linked = linked.select("text_hash", "entity", "copies", own("entity", "entities").alias("x"), every("terms").alias("y"))
+    said = spoken.join(likely, "term").select("text_hash", "term", every("entities").alias("x"), own("term", "terms").alias("y"))
+    met = linked.join(said, ["text_hash", "x", "y"])
     met = scratch.put(met.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "term", "n_et"), "met")
 
-    def bounded(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if frame.count() <= broadcast_rows else frame
+    def small(frame: DataFrame) -> bool:
+        return frame.count() <= broadcast_rows
 
-    # How common the candidate terms are in all documents.
+    # How common the candidate terms are in all documents; counted before they meet, unless few are asked for.
     asked = scratch.put(met.select("term").distinct(), "asked")
     everywhere = plain.select(F.explode(_terms(F.col("text"), term_length)).alias("term"))
-    common = everywhere.join(bounded(asked), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    rows = found.count()
+    if small(asked):
+        common = everywhere.join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:
+        common = everywhere.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term")
     information = -F.log(F.col("n_e") / F.lit(float(max(rows, 1))))
     mutual = F.log(F.col("n_et") * F.lit(float(max(rows, 1))) / (F.col("n_e") * F.col("n_t")))
     scored = met.join(protected, "entity").join(common, "term").where(information > 0).select("term", (mutual / information).alias("disclosure"))
     revealing = scratch.put(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= disclosure), "revealing")
 
     # Where those terms stand.
-    hits = plain.select("text_hash", F.explode(_terms(F.col("text"), term_length)).alias("term")).join(bounded(revealing), "term")
+    hits = plain.select("text_hash", F.explode(_terms(F.col("text"), term_length)).alias("term")).join(F.broadcast(revealing) if small(revealing) else revealing, "term")
     whole = F.collect_set(F.when(F.col("disclosure") >= 0.999999, F.col("term")))
     per_text = scratch.put(hits.groupBy("text_hash").agg(F.collect_set("term").alias("words"), whole.alias("whole")), "hits")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     removed = lambda s: F.when(F.array_contains("whole", F.lower(s["value"])), F.concat(F.lit("remove:"), s["value"])).otherwise(s["value"])
     standing = F.transform(located(F.col("text"), pattern, "term"), lambda s: s.withField("value", removed(s)))
-    marked = plain.join(per_text, "text_hash").select("text_hash", standing.alias("terms")).dropDuplicates(["text_hash"])
+    # Written before copies are left out, so that the join alone can be split where a text has very many of them.
+    marked = plain.join(F.broadcast(per_text) if small(per_text) else per_text, "text_hash").select("text_hash", standing.alias("terms"))
+    marked = scratch.put(marked, "marked").dropDuplicates(["text_hash"])
     out = found.select("id", "text_hash", "base").alias("f").join(marked.alias("m"), "text_hash", "left")
     free = F.filter(F.coalesce(F.col("m.terms"), F.array().cast(_SPAN)), lambda t: ~F.exists(F.col("f.base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.select(F.col("f.id").alias(id_col), "text_hash", F.col("f.base").alias("base"), free.alias("terms"))

@@ -92,3 +92,23 @@ def test_extra_columns_repeats_and_empty(spark):
     got = sanitise(frame).collect()
     assert sorted(r.text for r in got) == ["[PHONE] [EMAIL]", "x [EMAIL]", "x [EMAIL]"] and got[0].asDict().keys() == {"doc_id", "text", "base", "terms"}
     assert find_personal_data(frame.limit(0)).count() == 0 and sanitise(frame.limit(0)).count() == 0
+
+
+def test_a_text_of_very_many_entities_and_terms_meets_in_squares(spark, monkeypatch):
+    """Equal results however a text's entities and terms are dealt out."""
+    from larder.llm import pii
+
+    rnd = random.Random(5)
+    rows = []
+    for k in range(40):
+        hosts = [f"10.0.{k % 4}.{n}" for n in range(40)] if k < 12 else []
+        names = [f"secretname{k % 4}"] if k < 12 else []
+        rows.append((k, " ".join([*hosts, *names, *[f"word{rnd.randrange(60)}" for _ in range(50)], f"only{k}"])))
+    rows += [rows[0]] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for side in (1000, 7):
+        monkeypatch.setattr(pii, "SQUARE", side)
+        found[side] = sorted((r.doc_id, pii_spans) for r in find_personal_data(frame).collect() for pii_spans in [[(s.kind, s.start, s.value) for s in [*r.base, *r.terms]]])
+        assert any(kind == "term" for _, spans in found[side] for kind, *_ in spans)
+    assert found[1000] == found[7]
