@@ -6,7 +6,7 @@ Suffix automata of reference shards give matching statistics; every maximal span
 whole corpus the reference is everything with a smaller id, which no broadcast can hold, so there
 (``remove_repeats``) the shards are dealt out instead: the windows of a document are named by their least word
 gram, equal windows have equal names, and each name is a shard of its own that holds the different passages under
-it. A document's passage only ever meets the automaton of its own shards.
+it. A document's passage only ever meets the automaton of its own shards, which alone says where its windows start first.
 """
 
 from __future__ import annotations
@@ -175,7 +175,7 @@ def _cut(window: int):
                 words = (text or "").encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for f in found:
-                    for d, first in enumerate(f["firsts"] if f["firsts"] is not None else [f["first_id"]] * f["n"]):
+                    for d, first in enumerate(f["firsts"]):
                         if first < i:
                             for s in f["starts"]:
                                 gone[s + d] += 1
@@ -213,6 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = long.select("id", "th", F.explode(F.arrays_zip("names", "starts", "lengths")).alias("r"))
     runs = scratch.put(runs.select("id", "th", F.col("r.names").alias("name"), F.col("r.starts").alias("start"), F.col("r.lengths").alias("n")), "runs")
     shared = runs.groupBy("name").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("times")).where("x < y").select("name", (F.col("times") > crowd).cast("int").alias("level"))
+    shared = scratch.put(shared, "shared")  # two plain tables, so that a very common name's join can be split
     mine = runs.join(shared, "name").groupBy("id", "th").agg(F.collect_list(F.struct("name", F.array("start").alias("starts"), "n", "level")).alias("runs"))
     candidates = scratch.put(texts.join(mine, ["id", "th"]).dropDuplicates(["id", "th"]), "candidates")
     scratch.drop(runs)
@@ -228,14 +229,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passages = scratch.put(passages.join(crowded.select("key").distinct(), "key", "left_anti").union(windows), "passages")
     firsts = passages.groupBy("key", "passage").agg(F.min(F.struct("id", "th", F.array_min("starts").alias("start"))).alias("x"), F.first("n").alias("n"))
     firsts = scratch.put(firsts.select("key", "passage", F.col("x.id").alias("first_id"), F.col("x.th").alias("th"), F.col("x.start").alias("start"), "n"), "firsts")
-    many = firsts.groupBy("key").agg(F.count("*").alias("passages")).where("passages > 1").select("key")
-    asked = firsts.join(many, "key", "left_semi").groupBy(F.col("first_id").alias("id"), "th").agg(F.collect_list(F.struct("key", "passage", "first_id", "start", "n")).alias("held"))
+    asked = firsts.groupBy(F.col("first_id").alias("id"), "th").agg(F.collect_list(F.struct("key", "passage", "first_id", "start", "n")).alias("held"))
     wording = candidates.select("id", "th", "text").join(asked, ["id", "th"]).select("text", "held").mapInArrow(_wording(window), "key long, passage long, first_id long, words array<long>")
     judged = scratch.put(wording.repartition("key").sortWithinPartitions("key", "first_id", "passage").mapInArrow(_judged(window), "key long, passage long, firsts array<long>"), "judged")
 
-    answers = firsts.select("key", "passage", "first_id").join(judged, ["key", "passage"], "left")
-    losing = passages.join(answers, ["key", "passage"]).where(F.when(F.col("firsts").isNull(), F.col("first_id") < F.col("id")).otherwise(F.exists("firsts", lambda f: f < F.col("id"))))
-    found = losing.groupBy("id", "th").agg(F.collect_list(F.struct("starts", "n", "first_id", "firsts")).alias("found"))
+    losing = passages.join(judged, ["key", "passage"]).where(F.exists("firsts", lambda f: f < F.col("id")))
+    found = losing.groupBy("id", "th").agg(F.collect_list(F.struct("starts", "firsts")).alias("found"))
     cut = candidates.select("id", "th", "text").join(found, ["id", "th"]).mapInArrow(_cut(window), "id long, th long, n_removed long, kept_sha256 string, kept_text string")
     cut = scratch.put(cut if with_text else cut.withColumn("kept_text", F.lit(None).cast("string")), "cut")
     scratch.drop(candidates, passages)
@@ -251,10 +250,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def reference_automata(references: DataFrame, text_col: str = "text", shard_words: int = 20_000, most_words: int = 2_000_000) -> list[SuffixAutomaton]:
+def reference_automata(references: DataFrame, text_col: str = "text", shard_words: int = 20_000, most_words: int = 200_000) -> list[SuffixAutomaton]:
     """Automata of reference texts, each of at most shard_words words or one text.
 
-    References of more than most_words words are refused: what is broadcast must stay small. Null texts are skipped.
+    References of more than most_words words are refused: what is broadcast must stay small. A word takes about two
+    states of 300 bytes, so the bound stands for some 120 MB. Null texts are skipped.
     """
     texts = references.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     n = texts.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
