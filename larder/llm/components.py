@@ -12,16 +12,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+def _large(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every node's larger neighbours, linked to the least of that node and its neighbours; edges have a > b.
+
+    A node without smaller neighbours is its own least, so its edges stay as they are. The leasts are written: a join
+    of two plain tables is one that Spark can split where a node has very many neighbours.
+    """
+    least = scratch.put(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m"), "least")
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every node's smaller neighbours and the node, linked to the least of those neighbours."""
+    least = scratch.put(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -35,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        after = scratch.put(_small(_large(now)), "edges")
+        after = scratch.put(_small(_large(now, scratch), scratch), "edges")
         scratch.drop(now)
         now, before, state = after, state, _state(after)
         if state == before:

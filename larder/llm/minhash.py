@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = scratch.put(reps.select("node", F.explode("bands").alias("key")), "bands")
     known = scratch.put(reps.select("node", "id", "th", "n_shingles", "sketch"), "known")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).where("low < high")
-    banded = scratch.put(banded.join(shared, "key"), "shared")
+    banded = scratch.put(banded.join(scratch.put(shared, "ends"), "key"), "shared")  # two plain tables, so that a very common key's join can be split
     stars = banded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     stars = scratch.put(_candidates(stars, known, percent, most), "stars")
     families = components(stars, scratch)
