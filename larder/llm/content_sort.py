@@ -3,7 +3,8 @@
 Spark samples the splitters of the range partitions and sorts each partition with spilling. The range key is bounded
 (a prefix, a hash, the row's rank within its text), so splitters stay small, and the rank splits a text that a third
 of all rows hold over many partitions. Runs that continue in the next partition are stitched by comparing their
-whole texts: two short rows a partition.
+whole texts: two rows a partition. Different texts that share head and hashes, 96 bits, would have to meet at a
+partition's edge for a run to be missed there.
 """
 
 from __future__ import annotations
@@ -68,13 +69,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "content-sort")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_cp"))
-    rows = rows.withColumns({"head": F.substring("norm", 1, 16), "hash": F.xxhash64("norm")})
+    rows = rows.withColumns({"head": F.substring("norm", 1, 16), "hash": F.xxhash64("norm"), "hash2": F.hash("norm")})
     order = [F.desc("n_cp"), F.asc_nulls_last("doc_id")]
-    dealt = rows.repartitionByRange("head", "hash", *order).sortWithinPartitions("head", "hash", "norm", *order)
+    dealt = rows.repartitionByRange("head", "hash", "hash2", *order).sortWithinPartitions("head", "hash", "hash2", "norm", *order)
     found = scratch.put(dealt.select("doc_id", "norm", "n_cp").mapInArrow(_runs, _OUT), "runs")
 
     # A run at a partition's edge may go on in the next one: two rows a partition, compared as whole texts.
     edges = found.where("edge is not null").groupBy("edge").agg(F.min(F.struct(-F.col("n_cp"), F.col("keep_id").isNull().alias("no_id"), "keep_id", "pid", "run")).alias("best"), F.sum("group_size").alias("whole"), F.collect_list(F.struct("pid", "run")).alias("parts"))
     stitched = edges.where(F.size("parts") > 1).select(F.explode("parts").alias("part"), "best", "whole").select("part.pid", "part.run", F.col("best.keep_id").alias("best_id"), "whole", ((F.col("best.pid") == F.col("part.pid")) & (F.col("best.run") == F.col("part.run"))).alias("leads"))
-    out = found.join(F.broadcast(stitched), ["pid", "run"], "left")
+    out = found.join(stitched, ["pid", "run"], "left")  # at most two rows a partition are stitched
     return out.select(F.col("doc_id").alias(id_col), F.when(F.col("whole").isNull(), F.col("keep_id")).otherwise(F.col("best_id")).alias("keep_id"), F.coalesce("whole", "group_size").alias("group_size"), (F.col("first") & F.coalesce("leads", F.lit(True))).alias("kept"), "text_sha256")
