@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(banded, apart, known)
 
     # The most similar centre first, then blocks of what is still apart.
-    sets = texts.join(everyone.select("node", "id", "th"), ["id", "th"]).select("node", "text").dropDuplicates(["node"])
+    # By shuffle at every size, as members grow with the documents; copies under one id leave in the same place.
+    sets = texts.hint("merge").join(everyone.select("node", "id", "th"), ["id", "th"]).dropDuplicates(["id", "th", "node"]).select("node", "text")
     sets = scratch.put(_sets(sets, shingle_words), "sets")
     best = stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     roots = components(_confirmed(best, sets, percent), scratch)
