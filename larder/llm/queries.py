@@ -25,7 +25,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), shingle_words=4, percent=80)
+    return near_duplicates(_documents(spark, sf_dir), shingle_words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
