@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from larder.llm.scratch import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars already: each a has one b, and no b is an a. Then b is the least of its component."""
+    nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    per_node = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -37,11 +40,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     is logarithmic in the longest chain.
     """
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         after = scratch.put(_small(_large(now, scratch), scratch), "edges")
         scratch.drop(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
+        now = after
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
