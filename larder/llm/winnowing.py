@@ -103,7 +103,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # Stretches whose name an item has, each text once; then their runs, word for word.
     shared = scanned.select("key", F.explode("spots").alias("s")).select("key", "s.*").join(prints, "name", "left_semi")
     shared = scratch.put(shared.groupBy("key").agg(F.collect_set(F.struct("at", "stop", "length")).alias("spots")), "shared")
-    once = texts.select("key", "text").join(shared, "key").dropDuplicates(["key"])
+    # Copies go before the shuffle, and texts are shuffled at every size: what is shared grows with the documents.
+    once = texts.select("key", "text").dropDuplicates(["key"]).join(shared.hint("merge"), "key")
     extended = lambda w: F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(s["at"], s["stop"] - 1), lambda j: F.struct(j.alias("at"), s["length"].alias("length"), F.array_join(F.slice(w, j + 1, s["length"]), " ").alias("run")))))
     tried = once.select("key", F.explode(_bound(words(F.col("text")), extended)).alias("r")).select("key", "r.at", "r.length", "r.run")
     hits = tried.join(held.select("run", "holders"), "run").groupBy("key").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.sort_array(F.collect_set("holders")).alias("holders"))
