@@ -56,11 +56,15 @@ def max_text_length(context: int) -> int:
     return int(context * 0.4 * 3)
 
 
+# What is cut off both ends of a composition, as the data model asks: white space, dashes and these marks.
+EDGE_NOISE = r"[\s\-–—_*.,;:]+"
+
+
 def prepare_text(c: Column, context: int = 8192) -> Column:
     """Struct (text, too_long, had_markup, is_usable) of a raw composition text."""
     raw = F.coalesce(c, F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(unescape_html(raw), "<[^>]+>", " "), rf"{WHITE}+", " ")
-    edge = r"[\s\-–—_*.,;:]+"
+    edge = EDGE_NOISE
     text = F.regexp_replace(plain, f"^{edge}|{edge}$", "")
     long = F.length(text) > max_text_length(context)
     return F.struct(text.alias("text"), long.alias("too_long"), raw.rlike("<[^>]+>").alias("had_markup"), ((text != "") & ~long).alias("is_usable"))

@@ -627,9 +627,36 @@ def udf_rag_refuse(t: Tables):
     return answer_or_refuse(neighbours(t, 5).withColumn("code", F.col("id")), "query", 0.3).select("query", "refused")
 
 
+def indexed(t: Tables, *columns: str):
+    from larder.operators import vector_index as V
+    from larder.sources.sinks import workspace
+
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    model = V.train(t.embeddings)
+    return V, V.build(t.embeddings, model, workspace(t.spark, "index"), columns=columns), queries, model
+
+
 @query("vec_index")
 def vec_index(t: Tables):
-    return R.top_k_lsh(t.embeddings, F.col("vec_id") % 20 == 0, 5)
+    V, index, queries, model = indexed(t)
+    return V.search(index, queries, model, 5, round(0.75 * model.lists))  # these vectors have no clusters: most lists are asked, signatures prune
+
+
+@query("vec_iterative", "select q.vec_id as query, least(5, count(e.vec_id)) as hits from embeddings q left join embeddings e on e.label = 3 and e.vec_id <> q.vec_id where q.vec_id % 20 = 0 group by 1")
+def vec_iterative(t: Tables):
+    V, index, queries, model = indexed(t, "label")
+    found = V.search_filtered(index, queries, model, 5, F.col("label") == 3, probes=2)
+    return queries.select("query").join(found.groupBy("query").agg(F.count("*").alias("hits")), "query", "left").select("query", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+@query("vec_halves", f"select vec_id from embeddings where vec_id <> 0 order by round(list_cosine_similarity(embedding::double[], {QUERY}::double[]), 9) desc, vec_id limit 10")
+def vec_halves(t: Tables):
+    from larder.functions import halves as H
+    from larder.sources import sinks as K
+
+    rows = t.embeddings.where("vec_id <> 0")
+    stored = K.write_table(rows.select("vec_id", H.to_half(F.col("embedding")).alias("half")), K.workspace(t.spark, "halves"))
+    return H.top_k_halves(stored, rows, query_vector(t), 10).select("vec_id")
 
 
 @query("ml_embed_frame")
@@ -683,8 +710,7 @@ def ml_logreg(t: Tables):
 def sql_exec(t: Tables):
     from larder.operators.sqlguard import run_sql
 
-    t.orders.createOrReplaceTempView("products")
-    return run_sql(t.spark, "SELECT o_orderstatus, count(*) AS n FROM products WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY 1 LIMIT 20")
+    return run_sql(t.spark, "SELECT o_orderstatus, count(*) AS n FROM products WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY 1 LIMIT 20", {"products": t.orders})
 
 
 @query("udf_extract", "select doc_id::varchar as code, case when length(text) > 9830 then 'unreadable' else 'ok' end as status from documents")

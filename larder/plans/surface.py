@@ -40,7 +40,7 @@ def src_dict_jsonl(t: Tables):
     entry = alias_table(t).groupBy("canonical_name", "kind", "lang").agg(F.collect_set("alias_key").alias("names"))
     lines = entry.select(F.to_json(F.struct("canonical_name", "kind", F.create_map("lang", "names").alias("aliases"))).alias("value"))
     path = K.workspace(t.spark, "dictionary")
-    lines.coalesce(1).write.text(path)
+    lines.write.text(path)
     return Z.read_dictionary(t.spark, path).where("lang <> 'xx'").select("alias_key", "lang", "canonical_name").distinct()
 
 
@@ -344,8 +344,7 @@ def top_n_names(t: Tables):
 
 @query("lim_sql_tool", "select c_custkey, c_name from customer order by c_custkey limit 20")
 def lim_sql_tool(t: Tables):
-    t.customer.createOrReplaceTempView("products")
-    return Q.run_sql(t.spark, "SELECT c_custkey, c_name FROM products ORDER BY c_custkey LIMIT 500")
+    return Q.run_sql(t.spark, "SELECT c_custkey, c_name FROM products ORDER BY c_custkey LIMIT 500", {"products": t.customer})
 
 
 @query("srt_report", "select o_orderpriority as kind, round(avg(o_totalprice), 2) as mean, row_number() over (order by avg(o_totalprice) desc) as place from orders group by 1")
@@ -369,8 +368,7 @@ def set_invented(t: Tables):
 
 @query("set_tables", "select count(*) as n from orders")
 def set_tables(t: Tables):
-    t.orders.createOrReplaceTempView("product_extraction")
-    return Q.run_sql(t.spark, "WITH x AS (SELECT o_orderkey FROM product_extraction) SELECT count(*) AS n FROM x LIMIT 1")
+    return Q.run_sql(t.spark, "WITH x AS (SELECT o_orderkey FROM product_extraction) SELECT count(*) AS n FROM x LIMIT 1", {"product_extraction": t.orders})
 
 
 # --- text, arithmetic, arrays, maps, JSON
@@ -560,13 +558,34 @@ def str_delta_file(t: Tables):
     return M.merge_by_revision(stored, rows, "user_id", "event_id")
 
 
-@query("str_late_data", "select user_id, max(event_id) as event_id from events group by 1")
+#: Arrivals of events: the first fifteen days and the rest, one event in seven an arrival later; what is older than ten days before the newest event so far is late.
+ARRIVALS = "least((epoch_ms(ts) - (select min(epoch_ms(ts)) from events)) // 1296000000, 1) + (event_id % 7 = 0)::int"
+
+
+@query("str_late_data", f"with a as (select *, {ARRIVALS} as arrival from events), m as (select arrival, max(max(epoch_ms(ts))) over (order by arrival rows between unbounded preceding and 1 preceding) - 864000000 as mark from a group by 1), j as (select a.*, epoch_ms(ts) < coalesce(mark, 0) as is_late from a join m using (arrival)) select user_id, max(event_id) filter (not is_late) as event_id, count(*) filter (not is_late) as merged, count(*) filter (is_late) as late from j group by 1")
 def str_late_data(t: Tables):
-    rows = t.events.select("user_id", "event_id", "event_type")
-    early, late = (rows.where(f"{no} event_type in ('view', 'click')").drop("event_type") for no in ("", "not"))
-    rows = rows.drop("event_type")
-    first = M.merge_by_revision(rows.limit(0), late, "user_id", "event_id")
-    return M.merge_by_revision(first, early, "user_id", "event_id")
+    from larder.streaming import late as Y
+
+    source, out, checkpoint = (K.workspace(t.spark, f"late-{n}") for n in ("in", "out", "checkpoint"))
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.agg(F.unix_millis(F.min("ts"))).first()[0]
+    turn = F.least(F.floor((F.unix_millis("ts") - first) / 1_296_000_000), F.lit(1)) + (F.col("event_id") % 7 == 0).cast("int")
+    dealt = K.write_table(events.select("user_id", "event_id", "ts", turn.cast("int").alias("arrival")), K.workspace(t.spark, "late-dealt"), "arrival")
+    for arrival in range(3):
+        dealt.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(source)
+        Y.arrive(t.spark, source, "user_id long, event_id long, ts timestamp", out, checkpoint, "user_id", "event_id", "ts", late="10 days", idle_ms=3 * 86_400_000)
+    return Y.totals(t.spark, out).select(F.col("key").alias("user_id"), F.col("rev").alias("event_id"), "merged", "late")
+
+
+@query("str_batch_txn", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, (select count(distinct event_type) from events)::int as commits from events group by 1")
+def str_batch_txn(t: Tables):
+    from larder.streaming.manifest import ManifestTable
+
+    # A batch for each kind of event, each run twice as after a failure; the table is what its manifest names.
+    table = ManifestTable(t.spark, K.workspace(t.spark, "txn"), "user_id long, event_id long, event_type string", "user_id", "event_id", buckets=4, most=2)
+    kinds = sorted(r[0] for r in t.events.select("event_type").distinct().collect())
+    done = [table.apply(t.events.where(F.col("event_type") == kind), number) for number, kind in enumerate(kinds) for _ in range(2)]
+    return table.read().withColumn("commits", F.lit(sum(done)))
 
 
 @query("str_resume", "select conv_id, turn from conversations where role = 'assistant'")
@@ -676,7 +695,7 @@ def udf_benchmark(t: Tables):
 # --- the guarded SELECT surface
 
 
-#: Statements over customers as products, and over a view they may not read.
+#: Statements over customers as products; {file} is the path of a table that they may not read, by which each file's rows could be had.
 STATEMENTS = {
     "plain": "SELECT c_custkey FROM products WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 15",
     "with": "WITH x AS (SELECT c_mktsegment, count(*) AS n FROM products GROUP BY 1) SELECT n FROM x ORDER BY n LIMIT 3",
@@ -687,18 +706,20 @@ STATEMENTS = {
     "other table": "SELECT * FROM products WHERE c_custkey IN (SELECT o_custkey FROM secret) LIMIT 5",
     "no limit": "SELECT c_custkey FROM products",
     "write": "INSERT INTO products SELECT * FROM products LIMIT 1",
+    "file": "SELECT s.* FROM parquet.`{file}` s, products LIMIT 1",
+    "file as a dotted name": "WITH `parquet.{file}` AS (SELECT c_custkey FROM products) SELECT s.* FROM parquet.`{file}` s, products LIMIT 1",
+    "text as a dotted name": "WITH `text.{file}` AS (SELECT c_custkey FROM products) SELECT s.* FROM text.`{file}` s, products LIMIT 1",
+    "collation": "SELECT c_name FROM products WHERE c_name COLLATE UNICODE_CI = 'x' LIMIT 5",
 }
 
 
-@query("sql_guard", "select 'plain' as statement, true as allowed, (select count(*) from (select c_custkey from customer where c_acctbal > 0 limit 15)) as rows union all select 'with', true, (select least(count(distinct c_mktsegment), 3) from customer) union all select 'nested', true, 1 union all select unnest(['shadow', 'function', 'range', 'other table', 'no limit', 'write']), false, 0")
+@query("sql_guard", "select 'plain' as statement, true as allowed, (select count(*) from (select c_custkey from customer where c_acctbal > 0 limit 15)) as rows union all select 'with', true, (select least(count(distinct c_mktsegment), 3) from customer) union all select 'nested', true, 1 union all select unnest(['shadow', 'function', 'range', 'other table', 'no limit', 'write', 'file', 'file as a dotted name', 'text as a dotted name', 'collation']), false, 0")
 def sql_guard(t: Tables):
-    t.customer.createOrReplaceTempView("products")
-    t.orders.createOrReplaceTempView("secret")
-    out = []
+    guard, file, out = Q.GuardedSession(t.spark, {"products": t.customer}), t.orders.inputFiles()[0], []
     for name, statement in STATEMENTS.items():
         try:
-            found = Q.run_sql(t.spark, statement).agg(F.count("*").alias("rows"), F.lit(True).alias("allowed"))
+            found = guard.run(statement.format(file=file)).agg(F.count("*").alias("rows"), F.lit(True).alias("allowed")).first()
+            out.append((name, found["allowed"], found["rows"]))
         except Q.RejectedSQL:
-            found = t.customer.limit(0).agg(F.count("*").alias("rows"), F.lit(False).alias("allowed"))
-        out.append(found.select(F.lit(name).alias("statement"), "allowed", "rows"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+            out.append((name, False, 0))
+    return t.spark.createDataFrame(out, "statement string, allowed boolean, rows long")  # a row a statement

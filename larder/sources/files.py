@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from larder.functions.products import clean_texts, multilang_map, nutriments
 from larder.functions.text import corpus_code, normalize_key
 from larder.schemas import DUMP, NUTRIENTS, RAW_PRODUCT
+from larder.sources.sinks import workspace, write_table
 
 _NONE = "array<string>"
 
@@ -93,12 +94,25 @@ def retention_gap(files: DataFrame, watermark: int | None) -> DataFrame:
     return files.agg(F.min("timestamp").alias("oldest")).withColumn("gap", F.coalesce(F.col("oldest") > F.lit(watermark).cast("bigint"), F.lit(False)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines from 1, whatever number of splits a file is read in.
+
+    Within a split rows are numbered as they are read; a split begins where those before it end, which takes one row a
+    split to know. Lines end at a line feed, and a carriage return before it is no part of them.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("value"))
+    read = write_table(read.withColumn("turn", F.monotonically_increasing_id()), workspace(spark, "lines"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.groupBy("file", "split").agg(F.min("turn").alias("from"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return read.join(splits, ["file", "split"]).select("file", (F.col("turn") - F.col("from") + F.col("before") + 1).alias("line"), "value")
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(alias_key, lang, canonical_name, kind, line) of a dictionary of JSON lines with // comments.
 
     Every canonical name is an alias under the language xx; a broken line is an error that names it.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    lines = numbered_lines(spark, path).select(F.col("line").cast("int").alias("line"), "value")
     lines = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("//"))
     entry = F.from_json("value", "canonical_name string, kind string, aliases map<string,array<string>>")
     parsed = lines.select("line", entry.alias("e")).withColumn("ok", F.coalesce(F.col("e.canonical_name").isNotNull(), F.lit(False)))

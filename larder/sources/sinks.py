@@ -43,8 +43,20 @@ def markdown(rows: DataFrame, title: str, order: list[str]) -> DataFrame:
     return rows.agg(lines.alias("lines")).select(F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("report"))
 
 
+def _without_password(piece):
+    """What stands before an @: its last word, if that is ``scheme://user:password``, loses the password."""
+    word = F.regexp_extract(piece, r"\S*$", 0)
+    scheme = F.locate("://", word)
+    info = F.when(scheme > 0, F.substring(word, scheme + 3, F.length(word)))
+    user = F.substring_index(info, ":", 1)
+    named = (F.length(user) > 0) & ~user.contains("/") & (F.length(info) > F.length(user) + 1)
+    kept = F.substring(piece, F.lit(1), F.length(piece) - F.length(info) + F.length(user))
+    return F.when(named, F.concat(kept, F.lit(":***"))).otherwise(piece)
+
+
 def redact(text, secrets: list[str]):
     """Secrets, and passwords within connection strings, as ***."""
     for secret in filter(None, secrets):
         text = F.replace(text, F.lit(secret), F.lit("***"))
-    return F.regexp_replace(text, r"(://[^:/@\s]+:)[^@\s]+(@)", "$1***$2")
+    pieces = F.split(text, "@")
+    return F.array_join(F.transform(pieces, lambda piece, k: F.when(k < F.size(pieces) - 1, _without_password(piece)).otherwise(piece)), "@")

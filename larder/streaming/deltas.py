@@ -2,75 +2,61 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators.merge import merge_by_revision
+from larder.sources import sinks as K
+from larder.sources.files import SourceError
+from larder.streaming.manifest import ManifestTable
 
-#: A streamed table is kept in so many parts by key; a batch writes those that it touches.
-BUCKETS = 16
+#: What a file that is missing, cut off or malformed raises when it is read; other errors are errors of the program.
+UNREADABLE = (PySparkException, Py4JJavaError, SourceError, OSError)
 
 
 def apply_files(stored: DataFrame, files: list[tuple[int, str]], read: Callable[[str], DataFrame], watermark: int | None, key: str = "code", rev: str = "rev") -> tuple[DataFrame, int | None]:
     """Merge the files after the watermark in time order; stop at the first that can't be read.
 
-    Returns the state and the watermark of the last file applied, so that it never skips a hole.
+    A file is read whole before anything of it counts, and its rows are committed with its time, so a file that breaks
+    late leaves state and watermark of the one before. Returns the state and the watermark of the last file applied.
     """
+    spark = stored.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+    table = ManifestTable(spark, K.workspace(spark, "deltas"), schema, key, rev)
+    table.apply(stored, -1 if watermark is None else watermark)
     for timestamp, path in sorted(files):
         if watermark is not None and timestamp <= watermark:
             continue
         try:
-            incoming = read(path)
-        except Exception:
+            incoming = K.write_table(read(path), K.workspace(spark, "delta"))
+        except UNREADABLE:
             break
-        stored, watermark = merge_by_revision(stored, incoming, key, rev), timestamp
-    return stored, watermark
+        table.apply(incoming, timestamp)
+        watermark = timestamp
+    return table.read(), watermark
 
 
-def _parts(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
-    """The newest folder of each bucket, of finished batches only; before leaves out that batch and later ones."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return {}
-    newest: dict[int, tuple[int, str]] = {}
-    for status in fs.listStatus(root):
-        batch = re.fullmatch(r"batch=(\d+)", status.getPath().getName())
-        if not batch or before is not None and int(batch[1]) >= before or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            continue
-        for part in fs.listStatus(status.getPath()):
-            if bucket := re.fullmatch(r"bucket=(\d+)", part.getPath().getName()):
-                newest[int(bucket[1])] = max(newest.get(int(bucket[1]), (-1, "")), (int(batch[1]), part.getPath().toString()))
-    return {bucket: path for bucket, (_, path) in newest.items()}
-
-
-def read_state(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
-    """The table as finished batches left it; no batch yet is no rows."""
-    paths = sorted(_parts(spark, table, before).values())
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def stream_merge(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, key: str, rev: str) -> DataFrame:
+def stream_merge(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, key: str, rev: str, buckets: int = 16) -> DataFrame:
     """Merge every new file of source into the table and give its state.
 
-    A batch rewrites the buckets that its keys fall into, under its own number, and counts once it is whole; one that
-    runs again after a failure starts from the batches before it and ends in the same state. Without new files the
-    state is what it was.
+    Each micro-batch is one commit under its own number, so one that runs again after a failure changes nothing twice.
+    Without new files the state is what it was.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most BUCKETS
-        held = [path for b, path in _parts(spark, table, number).items() if b in touched]
-        before = spark.read.schema(schema).parquet(*held) if held else batch.limit(0)
-        merge_by_revision(before, batch, key, rev).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
-
-    query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    held = ManifestTable(spark, table, schema, key, rev, buckets)
+    query = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(source)
+        .writeStream.foreachBatch(lambda batch, number: held.apply(batch, number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
-    return read_state(spark, table, schema)
+    return held.read()
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
