@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stands for no revision within the stream, where a null would turn integers into floats.
+NONE = -(1 << 63)
 
 
 class _Guard(StatefulProcessor):
@@ -35,7 +37,7 @@ class _Guard(StatefulProcessor):
             seen += len(kept)
             if len(kept):
                 last = max(last, int(kept["at_ms"].max()))
-                revs = kept["rev"].dropna()
+                revs = kept["rev"][kept["rev"] != NONE]
                 if len(revs):
                     newest = int(revs.max()) if newest is None else max(newest, int(revs.max()))
         held = self._held.get() if self._held.exists() else None
@@ -66,7 +68,7 @@ def guarded_changes(rows: DataFrame, key: str, rev: str, ts: str, late: str, idl
     """
     known = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
     # As plain milliseconds, else Spark drops late rows uncounted.
-    plain = known.select(F.col(key).cast("long").alias("key"), F.col(rev).cast("long").alias("rev"), F.unix_millis(ts).alias("at_ms"))
+    plain = known.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(rev).cast("long"), F.lit(NONE)).alias("rev"), F.unix_millis(ts).alias("at_ms"))
     return plain.groupBy("key").transformWithStateInPandas(statefulProcessor=_Guard(idle_ms), outputStructType="key long, rev long, merged long, late long", outputMode="Update", timeMode="EventTime")
 
 
