@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.metrics import fingerprint as gold_fingerprint
+from larder.sources.sinks import write_json
+
 #: Largest drop of a metric, in points, that still passes.
 MAX_DROP = 3.0
 METRICS = ("f1_ingredients", "f1_typed", "sugar_accuracy")
@@ -35,3 +38,26 @@ def run_gate(gold: int, predictions: int, baseline: DataFrame | None, current: D
         return "stale", ["gold has changed since the baseline"]
     bad = compare(baseline, current).where("verdict <> 'pass'").orderBy("system", "metric").collect()
     return ("regress", [f"{r['system']} {r['metric']}: {r['verdict']}" for r in bad]) if bad else ("pass", [])
+
+
+BASELINE = "system string, metric string, value double, products long, digest string"
+
+
+def write_baseline(metrics: DataFrame, gold: DataFrame, path: str, key: str = "code") -> DataFrame:
+    """The baseline that later gates hold systems against: their snapshot beside gold's fingerprint, written whole; returns what was written.
+
+    It is only ever written by asking for it, as one that followed the metrics would guard nothing. Without gold or
+    without predictions there is nothing to hold to, which is an error and leaves an older baseline as it is.
+    """
+    rows = snapshot(metrics)
+    for what, frame in (("gold", gold), ("predictions", rows)):
+        if frame.isEmpty():
+            raise ValueError(f"no {what}: nothing to write a baseline from")
+    return write_json(rows.crossJoin(F.broadcast(gold_fingerprint(gold, key))).select("system", "metric", "value", "products", "digest"), path)  # one row
+
+
+def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """(baseline metrics, fingerprint of the gold they were measured on)."""
+    held = spark.read.schema(BASELINE).json(path)
+    first = held.select("digest").first()
+    return held.select("system", "metric", "value"), first["digest"] if first else None

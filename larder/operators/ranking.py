@@ -23,11 +23,11 @@ def _ranges(frame: DataFrame, by: list[str], order: list[str], weight: Column) -
     return dealt, counts.withColumn("__below", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows")
 
 
-def _beside(frame: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def _beside(frame: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """frame joined to other on keys, where nulls equal nulls."""
     named = other.toDF(*[f"__{c}" if c in keys else c for c in other.columns])
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return frame.join(named, on).drop(*[f"__{k}" for k in keys])
+    return frame.join(named, on, how).drop(*[f"__{k}" for k in keys])
 
 
 def global_rank(frame: DataFrame, order: list[str], name: str = "place") -> DataFrame:
@@ -64,3 +64,10 @@ def upper_middle() -> Column:
 def at_share(share: float) -> Column:
     """sorted[min(int(share * n), n - 1)]."""
     return F.least(F.floor(F.col("n") * share), F.col("n") - 1) + 1
+
+
+def medians(frame: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median) of each group, null where a group has no values: the mean of its two middle values."""
+    middle = order_statistics(frame, by, value, {"__a": lower_middle(), "__b": upper_middle()})
+    found = middle.select(*by, ((F.col("__a") + F.col("__b")) / 2).alias("median"))
+    return _beside(frame.select(*by).distinct(), found, by, "left")

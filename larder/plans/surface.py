@@ -13,6 +13,7 @@ from larder.functions import text as X
 from larder.operators import aliases as A
 from larder.operators import classify as L
 from larder.operators import corpus as C
+from larder.operators import gate as G
 from larder.operators import merge as M
 from larder.operators import metrics as E
 from larder.operators import predict as U
@@ -20,7 +21,7 @@ from larder.operators import ranking as O
 from larder.operators import retrieval as R
 from larder.operators import sampling as S
 from larder.operators import sqlguard as Q
-from larder.plans.analytics import ALIASES, GUESSES, INCOMING, PAIRS, RESOLVED, SETS, STORED, alias_table, guesses, name_table, neighbours, query_vector, revisions, sets
+from larder.plans.analytics import ALIASES, GATE, GUESSES, INCOMING, PAIRS, RESOLVED, SETS, STORED, alias_table, gate_metrics, guesses, name_table, neighbours, query_vector, revisions, sets
 from larder.plans.registry import Tables, query
 from larder.plans.scans import ENTRIES, entries
 from larder.sources import files as Z
@@ -315,8 +316,9 @@ def agg_run_result(t: Tables):
 
 @query("agg_switch", "select quantile_cont(value, 0.5) filter (event_type = 'view') as same_s, quantile_cont(value, 0.5) filter (event_type = 'error') as switched_s from events")
 def agg_switch(t: Tables):
-    one = lambda kind: N.median(F.when(F.col("event_type") == kind, F.col("value")))
-    return t.events.agg(one("view").alias("same_s"), one("error").alias("switched_s"))
+    per = O.medians(t.events.where("event_type in ('view', 'error')"), ["event_type"], "value")
+    one = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("median")))
+    return per.agg(one("view").alias("same_s"), one("error").alias("switched_s"))
 
 
 @query("agg_embed_progress", "select count(*) as seen, count(*) filter (lang = 'fr') as skipped, count(*) filter (lang <> 'fr') as embedded from documents")
@@ -417,7 +419,7 @@ def mth_rounding(t: Tables):
 
 @query("mth_extrapolate", "select event_type, round(quantile_cont(value, 0.5) * 147856 / 3600, 4) as hours from events group by 1")
 def mth_extrapolate(t: Tables):
-    return t.events.groupBy("event_type").agg(F.round(N.median(F.col("value")) * 147856 / 3600, 4).alias("hours"))
+    return O.medians(t.events, ["event_type"], "value").select("event_type", F.round(F.col("median") * 147856 / 3600, 4).alias("hours"))
 
 
 @query("dt_manual_window", "select event_id, greatest(epoch_us(ts) // 1000000 - 3 * 86400, 1704100000) as since from events")
@@ -633,9 +635,9 @@ def ev_cloud(t: Tables):
     return E.joined_predictions(gold, answers).select("code", F.coalesce("a", F.lit(0)).alias("answered"))
 
 
-@query("ev_baseline_cmd", "select count(*) as products, substr(sha256(string_agg(cast(doc_id as varchar), chr(10) order by cast(doc_id as varchar))), 1, 12) as digest from labels")
+@query("ev_baseline_cmd", f"with g as ({GATE}), f as (select count(*) as products, substr(sha256(string_agg(cast(doc_id as varchar), chr(10) order by cast(doc_id as varchar))), 1, 12) as digest from labels) select system, metric, value, products, digest from (unpivot g on f1_ingredients, f1_typed, sugar_accuracy into name metric value value) cross join f")
 def ev_baseline_cmd(t: Tables):
-    return E.fingerprint(t.labels, "doc_id")
+    return G.write_baseline(gate_metrics(t), t.labels, K.workspace(t.spark, "baseline"), "doc_id")
 
 
 @query("ev_retrieval", f"{PAIRS} select round(avg(p), 6) as mean_precision, count(*) as queries from (select query, avg(case when ql = el then 1.0 else 0 end) as p from r where rank <= 5 group by 1)")

@@ -9,10 +9,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from larder.session import build_session
 
-    session = build_session("local[4]", "larder-tests", 4, **{"spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    session = build_session("local[4]", "larder-tests", 4, **{"spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

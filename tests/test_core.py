@@ -198,6 +198,28 @@ def test_order_statistics(spark):
     assert {r.lang: r.quota for r in S.language_quotas(spark.createDataFrame([("de",), ("fr",), ("en",)], "lang string"), 7).collect()} == {"de": 3, "en": 2, "fr": 2}
 
 
+def test_medians(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", None), ("b", 3.0), ("b", 1.0), ("b", 9.0), (None, 2.0), ("c", None)]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    assert {r.g: r["median"] for r in O.medians(frame, ["g"], "x").collect()} == {"a": 2.5, "b": 3.0, None: 2.0, "c": None}
+    assert O.medians(frame.limit(0), ["g"], "x").count() == 0
+
+
+def test_baseline_is_written_by_asking(spark, tmp_path):
+    metrics = spark.createDataFrame([("s", 0.6, 0.5, 0.12345), ("t", 0.1, 0.2, 0.3)], "system string, f1_ingredients double, f1_typed double, sugar_accuracy double")
+    gold = spark.createDataFrame([("b",), ("a",)], "code string")
+    path = str(tmp_path / "baseline")
+    assert G.write_baseline(metrics, gold, path).count() == 6
+    was, print_ = G.read_baseline(spark, path)
+    assert {(r.system, r.metric, r["value"]) for r in was.collect()} == {(r.system, r.metric, r["value"]) for r in G.snapshot(metrics).collect()}
+    assert G.run_gate(2, 2, was, G.snapshot(metrics), E.fingerprint(gold).first().digest, print_) == ("pass", [])
+    assert G.run_gate(2, 2, was, G.snapshot(metrics), E.fingerprint(gold.limit(1)).first().digest, print_)[0] == "stale"
+    for a, b in ((metrics.limit(0), gold), (metrics, gold.limit(0))):
+        with pytest.raises(ValueError):
+            G.write_baseline(a, b, path)
+    assert G.read_baseline(spark, path)[0].count() == 6
+
+
 def test_quota_sample_equals_a_window(spark):
     rows = [(k, "abc"[k % 3] if k % 10 else None, k % 2) for k in range(700)]
     frame = spark.createDataFrame(rows, "code long, g string, h int")
