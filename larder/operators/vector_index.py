@@ -57,7 +57,7 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide(a)[:, None, :] ^ wide(b)[None, :, :]).sum(axis=2, dtype=np.int32)
 
 
-def train(vectors: DataFrame, lists: int | None = None, keep: float = 0.08, bits: int = 256, per_list: int = 64, rounds: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> Quantiser:
+def train(vectors: DataFrame, lists: int | None = None, keep: float = 0.08, bits: int = 512, per_list: int = 64, rounds: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> Quantiser:
     """Spherical k-means on a bounded sample; cut is set so that about ``keep`` of random pairs pass it.
 
     The sample is those of lowest hash of their id, per_list a list and at most MAX_SAMPLE_BYTES of them, so it is the

@@ -639,7 +639,7 @@ def indexed(t: Tables, *columns: str):
 @query("vec_index")
 def vec_index(t: Tables):
     V, index, queries, model = indexed(t)
-    return V.search(index, queries, model, 5, round(0.75 * model.lists))  # these vectors have no clusters: most lists are asked, signatures prune
+    return V.search(index, queries, model, 5, round(0.85 * model.lists))  # these vectors have no clusters: most lists are asked, signatures prune
 
 
 @query("vec_iterative", "select q.vec_id as query, least(5, count(e.vec_id)) as hits from embeddings q left join embeddings e on e.label = 3 and e.vec_id <> q.vec_id where q.vec_id % 20 = 0 group by 1")
