@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from larder.sources import sinks as K
 
-#: Rows of a block, on either side of a search.
-BLOCK = 4096
+#: Queries of a block; a search has at least CELLS cells a block, and more where one would hold over CELL vectors.
+BLOCK, CELLS, CELL = 4096, 16, 1 << 18
 #: The quantiser is sent to every task, so both it and the sample it is fitted on are bounded.
 MAX_LISTS, MAX_SAMPLE_BYTES = 1024, 64 << 20
 _ASKED = "query long, vector array<float>, signature binary, lists array<int>"
@@ -129,50 +129,120 @@ def asking(queries: DataFrame, model: Quantiser) -> DataFrame:
     return rows.mapInArrow(run, _ASKED)
 
 
-def _table(query: np.ndarray, found: np.ndarray, sims: np.ndarray, compared: np.ndarray) -> pa.Table:
-    return pa.table({"query": pa.array(query, pa.int64()), "id": pa.array(found, pa.int64()), "similarity": pa.array(sims, pa.float64()), "compared": pa.array(compared, pa.int64())})
-
-
-def _near(k: int, cut: int | None, skip_self: bool):
-    """Of one block of a list and one of queries: the k nearest of each query among those within the cut, and how many vectors were compared."""
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        q, v = np.flatnonzero(asks), np.flatnonzero(~asks)
-        ids, unit = group.column("id").to_numpy(), _unit(group.column("vector"))
-        signed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        out: list[pa.Table] = [_table(*(np.zeros(0, np.int64),) * 2, np.zeros(0), np.zeros(0, np.int64))]
-        for some in np.array_split(q, max(1, len(q) * len(v) // 1_000_000)) if len(q) and len(v) else []:
-            able = _differing(signed[some], signed[v]) <= cut if cut is not None else np.ones((len(some), len(v)), bool)
-            if skip_self:
-                able &= ids[some][:, None] != ids[v][None, :]
-            row, near = np.nonzero(able)
-            sims = np.einsum("ij,ij->i", unit[some][row], unit[v][near], dtype=np.float64)
-            order = np.lexsort((ids[v][near], -sims, row))
-            row, near, sims = row[order], near[order], sims[order]
-            first = np.searchsorted(row, row)  # where its query's hits begin
-            best = np.arange(len(row)) - first < k
-            compared = np.where(np.arange(len(row)) == first, np.bincount(row, minlength=len(some))[row], 0)
-            out.append(_table(ids[some][row[best]], ids[v][near[best]], sims[best], compared[best]))
-        return pa.concat_tables(out)
-
-    return run
+class _Cell:
+    """The queries of one cell, and the k nearest that its vectors have shown so far; vectors pass by in batches."""
+
+    def __init__(self, k: int, cut: int | None, skip_self: bool, n_lists: int) -> None:
+        self.k, self.cut, self.skip_self, self.n_lists = k, cut, skip_self, n_lists
+        self.waiting: list[pa.RecordBatch] = []  # queries, which all come before the first vector
+        self.ids = np.zeros(0, np.int64)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # (query's row, id, similarity)
+        self.held = 0
+
+    def _ready(self) -> None:
+        queries, self.waiting = pa.Table.from_batches(self.waiting), []
+        self.ids, self.unit, self.signed = queries.column("id").to_numpy(), _unit(queries.column("vector")), _signed(queries.column("signature"))
+        lists = queries.column("lists").combine_chunks()
+        self.asks = np.zeros((len(self.ids), self.n_lists), bool)
+        self.asks[np.repeat(np.arange(len(self.ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+        self.compared = np.zeros(len(self.ids), np.int64)
+
+    def take(self, rows: pa.RecordBatch) -> None:
+        """Rows of the cell: queries first, then vectors by list."""
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        n = int(asks.sum())
+        if n:
+            self.waiting.append(rows.slice(0, n))
+        rows = rows.slice(n)
+        if not rows.num_rows:
+            return
+        if self.waiting:
+            self._ready()
+        if not len(self.ids):
+            return
+        ids, unit, signed, lists = rows.column("id").to_numpy(), _unit(rows.column("vector")), _signed(rows.column("signature")), rows.column("list").to_numpy()
+        for begin, end in _runs(lists):
+            wanted = np.flatnonzero(self.asks[:, lists[begin]])
+            if len(wanted):
+                for some in np.array_split(wanted, max(1, len(wanted) * (end - begin) // 1_000_000)):
+                    self._meet(some, ids[begin:end], unit[begin:end], signed[begin:end])
+
+    def _meet(self, some: np.ndarray, ids: np.ndarray, unit: np.ndarray, signed: np.ndarray) -> None:
+        able = _differing(self.signed[some], signed) <= self.cut if self.cut is not None else np.ones((len(some), len(ids)), bool)
+        if self.skip_self:
+            able &= self.ids[some][:, None] != ids[None, :]
+        row, near = np.nonzero(able)
+        self.compared[some] += np.bincount(row, minlength=len(some))
+        self.found.append((some[row], ids[near], np.einsum("ij,ij->i", self.unit[some][row], unit[near], dtype=np.float64)))
+        self.held += len(row)
+        if self.held > 500_000 + 2 * self.k * len(self.ids):
+            self._keep_best()
+
+    def _keep_best(self) -> None:
+        row, ids, sims = (np.concatenate(part) for part in zip(*self.found, strict=True))
+        order = np.lexsort((ids, -sims, row))
+        row, ids, sims = row[order], ids[order], sims[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.found, self.held = [(row[best], ids[best], sims[best])], int(best.sum())
+
+    def best(self) -> pa.RecordBatch:
+        """(query, id, similarity, compared), compared at a query's first row alone."""
+        self._keep_best()
+        row, ids, sims = self.found[0]
+        first = np.arange(len(row)) == np.searchsorted(row, row)
+        compared = np.where(first, self.compared[row], 0) if len(row) else row
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((self.ids[row], pa.int64()), (ids, pa.int64()), (sims, pa.float64()), (compared, pa.int64()))], names=["query", "id", "similarity", "compared"])
+
+
+def _signed(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of rows with equal keys."""
+    new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    return list(zip([0, *new.tolist()], [*new.tolist(), len(keys[0])], strict=True))
 
 
 def _meet(index: DataFrame, asked: DataFrame, k: int, cut: int | None, skip_self: bool) -> DataFrame:
-    """(query, id, similarity, compared) of the k nearest of each query in each of its lists; asked holds (query, vector, signature, list).
+    """(query, id, similarity, compared) of the k nearest of each query in each cell; asked holds (query, vector, signature, lists).
 
-    Lists, and the queries of one list, are dealt out in blocks, so a list that holds a third of all vectors, or that
-    all queries ask, is many tasks. The sizes are a row a list, at most MAX_LISTS.
+    A cell is a block of queries and several lists; its task reads the queries, then the vectors as they pass by, and
+    gives one list of k hits a query, so what comes out grows with the queries and not with the lists. A list of more
+    than a cell's share of the vectors is dealt over several cells by its ids. Counts of lists, at most MAX_LISTS, and
+    of queries are taken first.
     """
-    sizes = index.groupBy("list").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("y_parts"))
-    wanted = asked.groupBy("list").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("x_parts"))
-    parts = F.broadcast(sizes.join(wanted, "list"))  # a row a list
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asked.join(parts, "list").select("list", F.col("query").alias("id"), "vector", "signature", F.lit(True).alias("asks"), own("query", "x_parts").alias("x"), every("y_parts").alias("y"))
-    right = index.join(parts, "list").select("list", "id", "vector", "signature", F.lit(False).alias("asks"), every("x_parts").alias("x"), own("id", "y_parts").alias("y"))
-    return left.unionByName(right).groupBy("list", "x", "y").applyInArrow(_near(k, cut, skip_self), "query long, id long, similarity double, compared long")
+    spark = index.sparkSession
+    sizes = dict(index.groupBy("list").count().collect())  # a row a list
+    n, blocks = sum(sizes.values()), asked.count() // BLOCK + 1
+    cells = max(CELLS, -(-n // CELL))
+    n_lists = max(sizes, default=0) + 1
+    parts = F.array(*[F.lit(-(-sizes.get(i, 0) * cells // max(n, 1))) for i in range(n_lists)])
+    part = lambda i: F.coalesce(F.get(parts, i), F.lit(0))
+    held = F.filter("lists", lambda i: part(i) > 0)
+    of_list = lambda i: F.transform(F.sequence(F.lit(0), part(i) - 1), lambda j: F.pmod(i + j, F.lit(cells)))
+    left = asked.select("query", "vector", "signature", held.alias("lists")).select(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("x"), F.explode(F.array_distinct(F.flatten(F.transform("lists", of_list)))).alias("y"), F.lit(True).alias("asks"), F.lit(None).cast("int").alias("list"), F.col("query").alias("id"), "vector", "signature", "lists")
+    own = F.pmod(F.col("list") + F.pmod(F.xxhash64("id"), part(F.col("list"))), F.lit(cells)).cast("int")
+    right = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), own.alias("y"), F.lit(False).alias("asks"), "list", "id", "vector", "signature", F.lit(None).cast("array<int>").alias("lists"))
+    order = ["x", "y", F.desc("asks"), "list"]
+    met = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x", "y").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, name = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            for begin, end in _runs(x, y):
+                if (x[begin], y[begin]) != name:
+                    if cell:
+                        yield cell.best()
+                    cell, name = _Cell(k, cut, skip_self, n_lists), (x[begin], y[begin])
+                cell.take(batch.slice(begin, end - begin))
+        if cell:
+            yield cell.best()
+
+    return met.mapInArrow(run, "query long, id long, similarity double, compared long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -187,7 +257,7 @@ def search(index: DataFrame, queries: DataFrame, model: Quantiser, k: int, probe
     queries (query, embedding) is a stated set with ids of its own. A query finds less than k only where its lists hold
     less within the cut.
     """
-    asked = asking(queries, model).select("query", "vector", "signature", F.explode(F.slice("lists", 1, probes)).alias("list"))
+    asked = asking(queries, model).withColumn("lists", F.slice("lists", 1, probes))
     return _best(_meet(index, asked, k, model.cut, skip_self), k)
 
 
@@ -202,7 +272,7 @@ def search_filtered(index: DataFrame, queries: DataFrame, model: Quantiser, k: i
     asked = K.write_table(asking(queries, model), K.workspace(spark, "asked"))
     found, open_, first, last, number = None, asked, 0, min(probes, model.lists), 1
     while True:
-        here = open_.select("query", "vector", "signature", F.explode(F.slice("lists", first + 1, last - first)).alias("list"))
+        here = open_.withColumn("lists", F.slice("lists", first + 1, last - first))
         met = _meet(able, here, k, None, skip_self).withColumn("round", F.lit(number))
         met = met if found is None else found.unionByName(met)
         rows = _best(met, k).withColumn("rounds", F.max("round").over(Window.partitionBy("query")))

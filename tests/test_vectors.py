@@ -63,15 +63,30 @@ def test_lists_and_parts_change_nothing(spark, tmp_path, monkeypatch):
     model = V.train(frame, lists=5)
     whole = V.Quantiser(model.centroids, model.directions, 10_000)
     monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "CELL", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # cells of many batches
     index = V.build(frame, whole, str(tmp_path / "index"))
     key = lambda rows: sorted((r["query"], r["rank"], r["id"], round(r["similarity"], 5)) for r in rows)
     asked = asked_of(frame, "vec_id >= 150")
-    got = V.search(index, asked, whole, 4, whole.lists).collect()
+    try:
+        got = V.search(index, asked, whole, 4, whole.lists).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     exact = R.top_k_many(frame, asked, 4).collect()
     assert [x[3] for x in key(got)] == pytest.approx([x[3] for x in key(exact)], abs=1e-5) and len(got) == len(exact)
     assert {r["compared"] for r in got} == {len(vectors) - 1}
 
 
+def test_cells_give_k_hits_a_query_however_many_lists(spark, tmp_path):
+    frame = table(spark, np.random.default_rng(9).normal(size=(2000, 16)))
+    asked = asked_of(frame)
+    for lists in (20, 200):
+        model = V.train(frame, lists=lists)
+        index = V.build(frame, model, str(tmp_path / f"index{lists}"))
+        met = V._meet(index, V.asking(asked, model), 5, None, True)
+        assert 5 * asked.count() <= met.count() <= 5 * asked.count() * V.CELLS
+
+
 def test_filtered_search_never_comes_short(spark, tmp_path):
     vectors, own = clusters(1500)
     labels = np.where(own == 7, 1, 0)
