@@ -57,3 +57,17 @@ def test_one_key_on_most_rows_is_ranked_in_parts(spark, monkeypatch):
     assert len(got) == 1000 and max(per.values()) - min(per.values()) <= 1
     for s in per:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
+
+
+def test_shards_do_not_depend_on_the_layout(spark, monkeypatch):
+    from larder.llm import ranks, ring
+
+    monkeypatch.setattr(ring, "class_ranks", lambda *a: ranks.class_ranks(*a, part=20))
+    rows = [(7, "same")] * 300 + [(8, "y")] * 45 + [(None, None)] * 30 + [(i, "x" * (i % 9)) for i in range(1200)]
+    seen = set()
+    for files in (1, 4, 11):
+        docs = spark.createDataFrame(rows[files:] + rows[:files], "doc_id long, text string").repartition(files)
+        got = ring_shards(docs, shards=6, replicas=4).collect()
+        assert len(got) == len(rows)
+        seen.add(tuple(sorted((r.doc_id if r.doc_id is not None else -1, r["size"], r.text_crc32, r.shard, r.slot) for r in got)))
+    assert len(seen) == 1
