@@ -13,6 +13,7 @@ where they disclose the entity wholly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TERM_GAP = r"[^\p{L}\p{N}]+"
+#: Places whose running sums are taken at once.
+STRETCH = 256
 #: Entities, and terms, of a text that meet in one task.
 SQUARE = 1000
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
@@ -53,18 +56,45 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once, also where body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sums(numbers: Column) -> Column:
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+
+    return F.aggregate(numbers, start, step, lambda acc: acc["out"])
+
+
+def _running(numbers: Column) -> Column:
+    """Sums of an array's longs up to each place. They are taken in stretches, so that no array of all is copied at each place."""
+    own = _let(numbers, lambda xs: F.transform(_stretches(xs), lambda i: _sums(F.slice(xs, i, F.lit(STRETCH)))))
+
+    def whole(parts: Column) -> Column:
+        before = _sums(F.transform(parts, lambda xs: F.element_at(xs, -1)))
+        moved = F.zip_with(parts, F.concat(F.array(F.lit(0).cast("long")), before), lambda xs, at: F.transform(xs, lambda x: x + at))
+        return F.flatten(F.slice(moved, F.lit(1), F.size(parts)))
+
+    return _let(own, whole)
+
+
+def _stretches(xs: Column) -> Column:
+    return F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches with code-point starts and ends: the pieces between matches give the places."""
-    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["m"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        ends = _running(F.zip_with(matches, gaps, lambda m, gap: (F.length(m) + F.length(gap)).cast("long")))
+        return F.zip_with(matches, ends, lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).cast("long").alias("start"), end.alias("end"), m.alias("value")))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), first, step, lambda acc: acc["out"])
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
 
 
 def base_spans(text: Column, kind: str) -> Column:
