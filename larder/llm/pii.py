@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TERM_GAP = r"[^\p{L}\p{N}]+"
 #: Places whose running sums are taken at once.
 STRETCH = 256
+#: Code points that a text is cut into where spans are replaced.
+CHUNK = 1024
 #: Entities, and terms, of a text that meet in one task.
 SQUARE = 1000
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
@@ -61,22 +64,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _sums(numbers: Column) -> Column:
+def _each(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], x))).alias("out"))
 
     return F.aggregate(numbers, start, step, lambda acc: acc["out"])
 
 
-def _running(numbers: Column) -> Column:
-    """Sums of an array's longs up to each place. They are taken in stretches, so that no array of all is copied at each place."""
-    own = _let(numbers, lambda xs: F.transform(_stretches(xs), lambda i: _sums(F.slice(xs, i, F.lit(STRETCH)))))
+def _running(numbers: Column, join: Callable[[Column, Column], Column] = add) -> Column:
+    """Sums, or what join makes of longs from 0, of an array up to each place. They are taken in stretches, so that no array of all is copied at each place."""
+    own = _let(numbers, lambda xs: F.transform(_stretches(xs), lambda i: _each(F.slice(xs, i, F.lit(STRETCH)), join)))
 
     def whole(parts: Column) -> Column:
-        before = _sums(F.transform(parts, lambda xs: F.element_at(xs, -1)))
-        moved = F.zip_with(parts, F.concat(F.array(F.lit(0).cast("long")), before), lambda xs, at: F.transform(xs, lambda x: x + at))
+        before = _each(F.transform(parts, lambda xs: F.element_at(xs, -1)), join)
+        moved = F.zip_with(parts, F.concat(F.array(F.lit(0).cast("long")), before), lambda xs, at: F.transform(xs, lambda x: join(x, at)))
         return F.flatten(F.slice(moved, F.lit(1), F.size(parts)))
 
     return _let(own, whole)
@@ -113,6 +116,31 @@ def _terms(text: Column, least: int) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & w.rlike(r"\p{L}"))
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others. Many others are laid out by place first, in about as many stretches as each then holds."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    last = F.array_max(F.transform(others, lambda s: s["end"]))
+    stretches = F.ceil(F.sqrt(F.size(others))).cast("long")
+
+    def by_place(known: Column) -> Column:
+        width, end = known["width"], lambda i: (i + 1) * known["width"]
+        held = F.transform(F.sequence(F.lit(0).cast("long"), known["n"] - 1), lambda i: F.filter(others, lambda s: (s["start"] < end(i)) & (s["end"] > i * width)))
+        floor = lambda at: F.floor(at / width).cast("int")
+
+        def free(at: Column) -> Column:
+            def clear(t: Column) -> Column:
+                own = F.slice(at, floor(t["start"]) + 1, floor(t["end"] - 1) - floor(t["start"]) + 1)
+                return ~F.exists(own, lambda group: F.exists(group, lambda s: overlap(s, t)))
+
+            return F.filter(spans, clear)
+
+        return _let(held, free)
+
+    laid = _let(F.struct(stretches.alias("n"), (F.floor(last / stretches) + 1).cast("long").alias("width")), by_place)
+    few = F.filter(spans, lambda t: ~F.exists(others, lambda s: overlap(s, t)))
+    return F.when((F.size(spans) == 0) | (F.size(others) <= 16), few).otherwise(laid)
+
+
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -185,7 +213,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = plain.join(F.broadcast(per_text) if small(per_text) else per_text, "text_hash").select("text_hash", standing.alias("terms"))
     marked = scratch.put(marked, "marked").dropDuplicates(["text_hash"])
     out = found.select("id", "text_hash", "base").alias("f").join(marked.alias("m"), "text_hash", "left")
-    free = F.filter(F.coalesce(F.col("m.terms"), F.array().cast(_SPAN)), lambda t: ~F.exists(F.col("f.base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    free = _apart(F.coalesce(F.col("m.terms"), F.array().cast(_SPAN)), F.col("f.base"))
     return out.select(F.col("f.id").alias(id_col), "text_hash", F.col("f.base").alias("base"), free.alias("terms"))
 
 
@@ -195,16 +223,26 @@ def sanitised(text: Column, base: Column, terms: Column) -> Column:
     Overlapping spans are covered as a whole, under the name of the one that starts first.
     """
     spans = F.array_sort(F.transform(F.concat(base, terms), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    tag = lambda s: F.when((s["kind"] == "term") & s["value"].startswith("remove:"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    def clean(known: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """Code points a to b, from those chunks that hold them."""
+            first, last = (F.floor(x / CHUNK).cast("int") for x in (a, F.greatest(b - 1, a)))
+            return F.substring(F.array_join(F.slice(known["chunks"], first + 1, last - first + 1), ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+        ends = _running(F.transform(known["spans"], lambda s: s["end"]), F.greatest)
+
+        def join(ends: Column) -> Column:
+            before = F.slice(F.concat(F.array(F.lit(0).cast("long")), ends), F.lit(1), F.size(ends))
+            pieces = F.zip_with(known["spans"], before, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(piece(at, s["start"]), tag(s))))
+            return F.concat(F.array_join(pieces, ""), piece(F.element_at(ends, -1), F.length(text).cast("long")))
 
-    def step(acc: Column, s: Column) -> Column:
-        tag = F.when((s["kind"] == "term") & s["value"].startswith("remove:"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece(acc["at"], s["start"]), tag))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return _let(ends, join)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("long"))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    done = _let(F.struct(chunks.alias("chunks"), spans.alias("spans")), clean)
+    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(done)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

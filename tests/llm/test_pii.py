@@ -112,3 +112,29 @@ def test_a_text_of_very_many_entities_and_terms_meets_in_squares(spark, monkeypa
         found[side] = sorted((r.doc_id, pii_spans) for r in find_personal_data(frame).collect() for pii_spans in [[(s.kind, s.start, s.value) for s in [*r.base, *r.terms]]])
         assert any(kind == "term" for _, spans in found[side] for kind, *_ in spans)
     assert found[1000] == found[7]
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"ué{i}@h{i % 7}.org, 10.0.{i % 300}.7" if i % 5 else f"Mondgestein{i}" for i in range(3000))
+    frame = spark.createDataFrame([(1, text), (2, "x@y.zz")], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in find_personal_data(frame).select("doc_id", spans_text(F.col("base")).alias("s")).collect()}
+    assert got == {1: base(text), 2: base("x@y.zz")}
+    want, at = [], 0
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in base(text).split(",")))
+    for a, b, kind in spans:
+        if a >= at:
+            want += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    assert {r.doc_id: r.text for r in sanitise(frame).collect()} == {1: "".join(want) + text[at:], 2: "[EMAIL]"}
+
+
+def test_spans_apart_equal_a_plain_loop(spark):
+    from larder.llm.pii import _apart
+
+    rnd = random.Random(3)
+    span = lambda: (lambda a: ("k", a, a + rnd.randrange(1, 40), "v"))(rnd.randrange(400))
+    rows = [(i, [span() for _ in range(rnd.choice([0, 1, 12]))], [span() for _ in range(rnd.choice([0, 3, 17, 30]))]) for i in range(150)]
+    kind = "array<struct<kind:string,start:long,end:long,value:string>>"
+    frame = spark.createDataFrame(rows, f"i long, spans {kind}, others {kind}")
+    got = {r.i: [(s.start, s.end) for s in r.free] for r in frame.select("i", _apart(F.col("spans"), F.col("others")).alias("free")).collect()}
+    assert got == {i: [s[1:3] for s in spans if not any(s[1] < o[2] and o[1] < s[2] for o in others)] for i, spans, others in rows}
