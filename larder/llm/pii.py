@@ -173,19 +173,24 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows, most = found.count(), protected.agg(F.max("n_e")).first()[0] or 0
 
     # A term in n_t documents can disclose an entity in n_e of rows only if n_t <= rows ** (1 - d) * n_e ** d, so terms
-    # that are more common among the holders alone can't; nor can those that meet no entity in enough texts.
-    spoken = holders.select("text_hash", "copies", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("terms").alias("term"))
-    likely = spoken.groupBy("term").agg(F.sum("copies").alias("n"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n") <= 1.000001 * max(rows, 1) ** (1 - disclosure) * most**disclosure))
-    likely = scratch.put(likely.select("term"), "likely")
+    # that are more common among the holders alone can't; nor can those that meet no protected entity in enough texts.
+    near = scratch.put(held.join(protected, "entity").select("text_hash").distinct().withColumn("near", F.lit(True)), "near")
+    spoken = holders.join(near, "text_hash", "left").select("text_hash", "copies", "near", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("terms").alias("term"))
+    likely = spoken.groupBy("term").agg(F.sum("copies").alias("n"), F.count("near").alias("texts")).where((F.col("texts") >= support) & (F.col("n") <= 1.000001 * max(rows, 1) ** (1 - disclosure) * most**disclosure))
+    likely = scratch.put(likely.select("term", "n"), "likely")
     # A text with very many entities and terms is dealt out in squares of bounded size.
     square = lambda n: F.ceil(F.col(n) / SQUARE).cast("int")
     own = lambda value, n: F.pmod(F.xxhash64(value), square(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), square(n) - 1))
-    linked = holders.select("text_hash", "copies", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("entities").alias("entity")).where("terms > 0").join(protected.select("entity"), "entity")
-    linked = linked.select("text_hash", "entity", "copies", own("entity", "entities").alias("x"), every("terms").alias("y"))
-    said = spoken.join(likely, "term").select("text_hash", "term", every("entities").alias("x"), own("term", "terms").alias("y"))
+    linked = holders.select("text_hash", "copies", F.size("entities").alias("entities"), F.size("terms").alias("terms"), F.explode("entities").alias("entity")).where("terms > 0").join(protected, "entity")
+    linked = linked.select("text_hash", "entity", "n_e", "copies", own("entity", "entities").alias("x"), every("terms").alias("y"))
+    said = spoken.where("near").join(likely, "term").select("text_hash", "term", "n", every("entities").alias("x"), own("term", "terms").alias("y"))
     met = linked.join(said, ["text_hash", "x", "y"])
-    met = scratch.put(met.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "term", "n_et"), "met")
+    met = met.groupBy("entity", "term").agg(F.max("n_e").alias("n_e"), F.max("n").alias("n"), F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    # A term is in no fewer documents than holders, so with their number in its place a disclosure can only be larger.
+    information = -F.log(F.col("n_e") / F.lit(float(max(rows, 1))))
+    mutual = lambda n_t: F.log(F.col("n_et") * F.lit(float(max(rows, 1))) / (F.col("n_e") * F.col(n_t)))
+    met = scratch.put(met.where((information > 0) & (mutual("n") / information >= disclosure - 1e-9)).select("entity", "term", "n_et", "n_e"), "met")
 
     def small(frame: DataFrame) -> bool:
         return frame.count() <= broadcast_rows
@@ -197,9 +202,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common = everywhere.join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         common = everywhere.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term")
-    information = -F.log(F.col("n_e") / F.lit(float(max(rows, 1))))
-    mutual = F.log(F.col("n_et") * F.lit(float(max(rows, 1))) / (F.col("n_e") * F.col("n_t")))
-    scored = met.join(protected, "entity").join(common, "term").where(information > 0).select("term", (mutual / information).alias("disclosure"))
+    scored = met.join(common, "term").select("term", (mutual("n_t") / information).alias("disclosure"))
     revealing = scratch.put(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= disclosure), "revealing")
 
     # Where those terms stand.
