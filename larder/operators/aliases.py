@@ -1,19 +1,23 @@
 """Ingredient names against the alias dictionary, and the three ways of counting sugar forms.
 
-The dictionary is bounded (some hundred aliases of some dozen entities) and is checked before it is broadcast.
+The dictionary is small as a rule (some hundred aliases of some dozen entities) and is checked before it is broadcast.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache
+from itertools import accumulate
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.text import key_words, normalize_key
+from larder.sources.sinks import workspace, write_table
 
 #: Above so many aliases the dictionary is joined by shuffle.
 MAX_BROADCAST = 200_000
@@ -100,47 +104,132 @@ def grounded(names: Iterable[str], words: list[str], forms: Mapping[str, list[li
     return sorted([name for name, own in sorted(by_length.items(), key=lambda x: (spelt(x[1][0]) if x[1] else (0, []), x[0])) if any(map(taken, own))])
 
 
+class Forms:
+    """``grounded`` by one pass over a text, however many aliases there are.
+
+    An Aho-Corasick automaton holds every alias, and every word of an alias of several words, each after a space, so
+    that it finds where they begin a word. Only what it finds is then judged, in the order of ``grounded``.
+    """
+
+    def __init__(self, forms: Mapping[str, Iterable[str]]) -> None:
+        self.own = {name: sorted(filter(None, own), key=lambda alias: (-len(alias), alias)) for name, own in forms.items()}
+        self.automaton = ahocorasick.Automaton()
+        for own in self.own.values():
+            for alias in own:
+                for pattern in {alias, *alias.split(" ")}:
+                    self.automaton.add_word(" " + pattern, pattern)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def _places(self, words: list[str], wanted: set[str]) -> dict[str, list[int]]:
+        """The numbers of the words at which each wanted pattern begins, ascending."""
+        places: dict[str, list[int]] = {pattern: [] for pattern in wanted}
+        if words and len(self.automaton):
+            number = {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in words[:-1]), initial=0))}
+            for end, pattern in self.automaton.iter(" " + " ".join(words)):
+                if pattern in places:
+                    places[pattern].append(number[end - len(pattern)])
+        return places
+
+    def mentioned(self, names: Iterable[str], words: list[str]) -> list[str]:
+        """Those of the names that the words mention, sorted."""
+        own = {name: self.own[name] for name in set(names) if name in self.own}
+        places = self._places(words, {pattern for aliases in own.values() for alias in aliases for pattern in (alias, *alias.split(" "))})
+        free = bytearray(b"\1") * len(words)
+
+        def taken(alias: str) -> bool:
+            parts = alias.split(" ")
+            for at in places[alias]:
+                if all(free[at : at + len(parts)]):
+                    free[at : at + len(parts)] = bytes(len(parts))
+                    return True
+            return len(parts) > 1 and all(any(free[at] for at in places[part]) for part in parts)
+
+        longest_first = sorted(own.items(), key=lambda x: (-len(x[1][0]) if x[1] else 0, x[1][:1], x[0]))
+        return sorted(name for name, aliases in longest_first if any(map(taken, aliases)))
+
+
+@lru_cache(1 << 16)
+def _key(name: str | None) -> str:
+    return " ".join(key_words(name))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def name_keys(names: pd.Series) -> pd.Series:
+    """The distinct keys of a row's names; null names have the empty key, null for no names."""
+    return pd.Series([None if own is None else list(set(map(_key, own))) for own in names], dtype=object)
+
+
+def _lookups(aliases: DataFrame) -> DataFrame:
+    """alias_key, lang, canonical_name, kind as ``resolve`` finds them; those for any language have a null lang."""
+    loose = by_key(aliases).select("alias_key", F.lit(None).cast("string").alias("lang"), "canonical_name", "kind")
+    return by_language(aliases).where("lang is not null").unionByName(loose)
+
+
+def _forms(aliases: DataFrame) -> DataFrame:
+    """Each canonical name's aliases, brought to keys."""
+    return aliases.groupBy("canonical_name").agg(F.collect_set(normalize_key("alias_key")).alias("forms"))
+
+
 def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """rows with ``grounded``: the canonical sugars that the row's names mean and its own text mentions.
 
     Names are looked up by their keys as ``resolve`` does, by language first where lang_col names one; the text is
     brought to words by the same rule, and any language's alias may stand in it. Up to MAX_BROADCAST aliases are sent
-    out. Above that each row's names meet the dictionary by shuffle and are gathered again by what the answer depends
-    on. Null names, texts and languages are empty; no row is lost.
+    out as one automaton, and nothing is shuffled. Above that ``ground_by_shuffle`` gives the same. Null names, texts
+    and languages are empty; no row is lost.
     """
+    if aliases.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
+        return ground_by_shuffle(rows, aliases, names_col, text_col, lang_col)
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")
-    forms = aliases.groupBy("canonical_name").agg(F.collect_set("alias_key").alias("forms"))
-    if aliases.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        exact = {(r["lang"], r["alias_key"]): r for r in by_language(aliases).collect()}
-        loose = {r["alias_key"]: r for r in by_key(aliases).collect()}
-        known = {r["canonical_name"]: [key_words(f) for f in r["forms"]] for r in forms.collect()}
-        sent = rows.sparkSession.sparkContext.broadcast((exact, loose, known))
+    entries = {(r["lang"], r["alias_key"]): (r["canonical_name"], r["kind"]) for r in _lookups(aliases).collect()}
+    forms = {r["canonical_name"]: r["forms"] for r in _forms(aliases).collect()}
+    sent = rows.sparkSession.sparkContext.broadcast((entries, forms))
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def mentioned(names: pd.Series, texts: pd.Series, langs: pd.Series) -> pd.Series:
-            by_lang, by_name, table = sent.value
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def mentioned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        found, forms = sent.value
+        dictionary = Forms(forms)
 
-            def one(own, text, language) -> list[str]:
-                keys = {" ".join(key_words(n)) for n in (own if own is not None else [])}
-                entries = [by_lang.get((language, key)) or by_name.get(key) for key in keys]
-                return grounded({e["canonical_name"] for e in entries if e and e["kind"] == "sugar"}, key_words(text), table)
+        def one(own, text, language) -> list[str]:
+            keys = set(map(_key, own if own is not None else []))
+            means = [found.get((language, key)) or found.get((None, key)) for key in keys]
+            return dictionary.mentioned((e[0] for e in means if e and e[1] == "sugar"), key_words(text))
 
-            return pd.Series(list(map(one, names, texts, langs)), dtype=object)
+        for names, texts, langs in batches:
+            yield pd.Series(list(map(one, names, texts, langs)), dtype=object)
 
-        return rows.withColumn("grounded", mentioned(names_col, text_col, lang))
+    return rows.withColumn("grounded", mentioned(names_col, text_col, lang))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def mentioned_of(entries: pd.Series, texts: pd.Series) -> pd.Series:
-        tables = ({e["canonical_name"]: [key_words(f) for f in e["forms"]] for e in own} for own in entries)
-        return pd.Series([grounded(table, key_words(text), table) for table, text in zip(tables, texts, strict=True)], dtype=object)
-
-    keyed = rows.withColumn("__key", F.unhex(F.md5(F.to_json(F.struct(F.col(names_col).alias("n"), F.col(text_col).alias("t"), lang.alias("l"))))))
-    own = keyed.select("__key", lang.alias("lang"), F.explode(F.array_distinct(names_col)).alias("__name")).withColumn("name_key", normalize_key("__name"))
-    named = resolve(own, aliases).where("dict_kind = 'sugar'").select("__key", F.col("dict_name").alias("canonical_name")).distinct()
-    met = named.join(forms, "canonical_name").groupBy("__key").agg(F.collect_list(F.struct("canonical_name", "forms")).alias("entries"))
-    texts = keyed.groupBy("__key").agg(F.first(text_col).alias("__text"))
-    found = met.join(texts, "__key").select("__key", mentioned_of("entries", "__text").alias("grounded"))
-    return keyed.join(found, "__key", "left").select(*rows.columns, F.coalesce("grounded", F.array().cast("array<string>")).alias("grounded"))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _mentioned_of(entries: pd.Series, texts: pd.Series) -> pd.Series:
+    """Of each row's own (name, alias, alias ...), the names that its text mentions."""
+
+    def one(own, text) -> list[str]:
+        table = {name: aliases for name, *aliases in own} if own is not None else {}
+        return Forms(table).mentioned(table, key_words(text)) if table else []
+
+    return pd.Series(list(map(one, entries, texts)), dtype=object)
+
+
+def ground_by_shuffle(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """``ground`` for a dictionary of any size: names meet it by key, and come back to their rows with all aliases.
+
+    The dictionary's side is made ready first (a row a key, with the aliases of what it means), so that a name is moved
+    twice in all. Rows are numbered and written to the shared folder, as numbers are what moves with the names.
+    """
+    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")
+    numbered = write_table(rows.withColumn("__row", F.monotonically_increasing_id()), workspace(rows.sparkSession, "grounding"))
+    known = write_table(aliases.select("alias_key", "lang", "canonical_name", "kind", "line"), workspace(rows.sparkSession, "aliases"))
+    means = _lookups(known).join(_forms(known), "canonical_name").select("alias_key", F.struct("lang", "kind", F.concat(F.array("canonical_name"), "forms").alias("entry")).alias("m"))
+    dictionary = means.groupBy("alias_key").agg(F.collect_list("m").alias("__means"))
+    asked = numbered.select("__row", lang.alias("__lang"), F.explode(name_keys(names_col)).alias("alias_key"))
+    of_lang = F.filter("__means", lambda m: m["lang"] == F.col("__lang"))
+    anywhere = F.filter("__means", lambda m: m["lang"].isNull())
+    met = asked.join(dictionary, "alias_key").select("__row", F.get(F.concat(of_lang, anywhere), F.lit(0)).alias("__m")).where("__m.kind = 'sugar'")
+    entries = met.groupBy("__row").agg(F.collect_list("__m.entry").alias("__entries"))
+    return numbered.join(entries, "__row", "left").withColumn("grounded", _mentioned_of("__entries", text_col)).drop("__row", "__entries")
 
 
 def with_keys(frame: DataFrame, name: str = "name", key: str = "name_key") -> DataFrame:

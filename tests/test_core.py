@@ -160,6 +160,32 @@ def test_grounding_cases(spark, monkeypatch, bound):
     assert got == {k: case[2] for k, case in enumerate(GROUNDING)}
 
 
+def test_one_pass_grounds_as_alias_by_alias():
+    rng = random.Random(5)
+    stem = lambda: "".join(rng.choices("ab", k=rng.randint(1, 3)))
+    for _ in range(3000):
+        forms = {f"n{k}": [" ".join(stem() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 3))] for k in range(rng.randint(0, 6))}
+        words, names = [stem() for _ in range(rng.randint(0, 12))], rng.sample(["n0", "n1", "n2", "n3", "n4", "n5", "n9"], rng.randint(0, 7))
+        assert A.Forms(forms).mentioned(names, words) == A.grounded(names, words, {name: [alias.split() for alias in own] for name, own in forms.items()})
+
+
+def test_both_ways_of_grounding_agree(spark):
+    rng = random.Random(6)
+    stem = lambda: "".join(rng.choices("abé", k=rng.randint(1, 3)))
+    aliases = [(" ".join(stem() for _ in range(rng.randint(1, 2))), rng.choice(["en", "de", "xx", None]), f"n{rng.randint(0, 9)}", rng.choice(["sugar", "sugar", "base"]), line) for line in range(60)]
+    aliases.append(("a_b", "en", "n1", "sugar", 99))
+    rows = [(k % 90, None if k % 17 == 0 else [rng.choice([None, "", stem(), stem().upper(), f"{stem()} {stem()}"]) for _ in range(rng.randint(0, 8))], None if k % 13 == 0 else " ".join(stem() for _ in range(rng.randint(0, 20))), rng.choice(["en", "de", "", None]), "kept") for k in range(200)]
+    dictionary = spark.createDataFrame(aliases, "alias_key string, lang string, canonical_name string, kind string, line int")
+    frame = spark.createDataFrame(rows, "id int, names array<string>, text string, lang string, line string")
+    for lang in (None, "lang"):
+        small, large = A.ground(frame, dictionary, lang_col=lang), A.ground_by_shuffle(frame, dictionary, lang_col=lang)
+        assert small.columns == large.columns == [*frame.columns, "grounded"]
+        got = sorted(map(repr, small.collect()))
+        assert got == sorted(map(repr, large.collect())) and len(got) == 200 and any("['n" in r for r in got)
+    none = A.ground_by_shuffle(frame, dictionary.limit(0)).where("size(grounded) = 0").count()
+    assert none == 200 and A.ground(frame, dictionary.limit(0)).where("size(grounded) = 0").count() == 200
+
+
 def test_redaction_of_addresses(spark):
     cases = {"pg://u:p@h": "pg://u:***@h", "see a://b:c d://e:f@g @h": "see a://b:c d://e:***@g @h", "x://u:p@h, y://v:q@i": "x://u:***@h, y://v:***@i", "no@where a:b@c": "no@where a:b@c", "s://u:@h s:///:p@h": "s://u:@h s:///:p@h", "s://u@h:p@x": "s://u@h:p@x", "": ""}
     frame = spark.createDataFrame([(k,) for k in cases], "t string")
