@@ -21,6 +21,8 @@ from larder.sources.sinks import workspace, write_table
 
 #: Above so many aliases the dictionary is joined by shuffle.
 MAX_BROADCAST = 200_000
+#: Rows whose names are looked up together there; a power of two, so that no chunk has rows of two partitions.
+CHUNK = 2_048
 
 
 def small(frame: DataFrame) -> DataFrame:
@@ -154,12 +156,6 @@ def _key(name: str | None) -> str:
     return " ".join(key_words(name))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def name_keys(names: pd.Series) -> pd.Series:
-    """The distinct keys of a row's names; null names have the empty key, null for no names."""
-    return pd.Series([None if own is None else list(set(map(_key, own))) for own in names], dtype=object)
-
-
 def _lookups(aliases: DataFrame) -> DataFrame:
     """alias_key, lang, canonical_name, kind as ``resolve`` finds them; those for any language have a null lang."""
     loose = by_key(aliases).select("alias_key", F.lit(None).cast("string").alias("lang"), "canonical_name", "kind")
@@ -202,34 +198,54 @@ def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_c
     return rows.withColumn("grounded", mentioned(names_col, text_col, lang))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _mentioned_of(entries: pd.Series, texts: pd.Series) -> pd.Series:
-    """Of each row's own (name, alias, alias ...), the names that its text mentions."""
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct (chunk, language, key) of rows that lie chunk by chunk; what a chunk's other rows ask again elsewhere does no harm."""
+    at, asked = None, set()
+    columns = ["chunk", "lang", "alias_key"]
+    for batch in batches:
+        for chunk, lang, names in zip(batch["chunk"], batch["lang"], batch["names"], strict=True):
+            if chunk != at:
+                if asked:
+                    yield pd.DataFrame([(at, *key) for key in asked], columns=columns)
+                at, asked = chunk, set()
+            if names is not None:
+                asked.update([(lang, key) for key in map(_key, names)])
+    if asked:
+        yield pd.DataFrame([(at, *key) for key in asked], columns=columns)
+
+
+def _mentioned_of(rows: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's rows against the entries that its names met: one automaton, one pass over each text."""
+    means = {(lang, key): entry[0] for lang, key, entry in zip(met["lang"], met["alias_key"], met["entry"], strict=True)}
+    dictionary = Forms({entry[0]: list(entry[1:]) for entry in met["entry"]})
 
-    def one(own, text) -> list[str]:
-        table = {name: aliases for name, *aliases in own} if own is not None else {}
-        return Forms(table).mentioned(table, key_words(text)) if table else []
+    def one(lang, names, text) -> list[str]:
+        own = (means.get((lang, key)) for key in map(_key, names if names is not None else []))
+        return dictionary.mentioned(filter(None, own), key_words(text))
 
-    return pd.Series(list(map(one, entries, texts)), dtype=object)
+    return pd.DataFrame({"row": rows["row"], "grounded": pd.Series(list(map(one, rows["lang"], rows["names"], rows["text"])), index=rows.index, dtype=object)})
 
 
 def ground_by_shuffle(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
-    """``ground`` for a dictionary of any size: names meet it by key, and come back to their rows with all aliases.
+    """``ground`` for a dictionary of any size: each chunk of CHUNK rows gets that part of it that its own names ask for.
 
-    The dictionary's side is made ready first (a row a key, with the aliases of what it means), so that a name is moved
-    twice in all. Rows are numbered and written to the shared folder, as numbers are what moves with the names.
+    The dictionary's side is made ready first (a row a key, with the aliases of what it means). A chunk asks once for
+    each different name, and judges its texts with one automaton of what comes back. Rows are numbered and written to
+    the shared folder first, as chunks are made of the numbers.
     """
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")
     numbered = write_table(rows.withColumn("__row", F.monotonically_increasing_id()), workspace(rows.sparkSession, "grounding"))
     known = write_table(aliases.select("alias_key", "lang", "canonical_name", "kind", "line"), workspace(rows.sparkSession, "aliases"))
     means = _lookups(known).join(_forms(known), "canonical_name").select("alias_key", F.struct("lang", "kind", F.concat(F.array("canonical_name"), "forms").alias("entry")).alias("m"))
-    dictionary = means.groupBy("alias_key").agg(F.collect_list("m").alias("__means"))
-    asked = numbered.select("__row", lang.alias("__lang"), F.explode(name_keys(names_col)).alias("alias_key"))
-    of_lang = F.filter("__means", lambda m: m["lang"] == F.col("__lang"))
-    anywhere = F.filter("__means", lambda m: m["lang"].isNull())
-    met = asked.join(dictionary, "alias_key").select("__row", F.get(F.concat(of_lang, anywhere), F.lit(0)).alias("__m")).where("__m.kind = 'sugar'")
-    entries = met.groupBy("__row").agg(F.collect_list("__m.entry").alias("__entries"))
-    return numbered.join(entries, "__row", "left").withColumn("grounded", _mentioned_of("__entries", text_col)).drop("__row", "__entries")
+    dictionary = means.groupBy("alias_key").agg(F.collect_list("m").alias("means"))
+
+    texts = numbered.select(F.shiftright("__row", CHUNK.bit_length() - 1).alias("chunk"), F.col("__row").alias("row"), lang.alias("lang"), F.col(names_col).alias("names"), F.col(text_col).alias("text"))
+    asked = texts.select("chunk", "lang", "names").mapInPandas(_asked, "chunk long, lang string, alias_key string")
+    of_lang = F.filter("means", lambda m: m["lang"] == F.col("lang"))
+    anywhere = F.filter("means", lambda m: m["lang"].isNull())
+    met = asked.join(dictionary, "alias_key").withColumn("m", F.get(F.concat(of_lang, anywhere), F.lit(0))).where("m.kind = 'sugar'").select("chunk", "lang", "alias_key", "m.entry")
+    found = texts.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_mentioned_of, "row long, grounded array<string>")
+    return numbered.join(found, numbered["__row"] == found["row"], "left").select(*[numbered[c] for c in rows.columns], found["grounded"])
 
 
 def with_keys(frame: DataFrame, name: str = "name", key: str = "name_key") -> DataFrame:

@@ -169,7 +169,8 @@ def test_one_pass_grounds_as_alias_by_alias():
         assert A.Forms(forms).mentioned(names, words) == A.grounded(names, words, {name: [alias.split() for alias in own] for name, own in forms.items()})
 
 
-def test_both_ways_of_grounding_agree(spark):
+def test_both_ways_of_grounding_agree(spark, monkeypatch):
+    monkeypatch.setattr(A, "CHUNK", 4)
     rng = random.Random(6)
     stem = lambda: "".join(rng.choices("abé", k=rng.randint(1, 3)))
     aliases = [(" ".join(stem() for _ in range(rng.randint(1, 2))), rng.choice(["en", "de", "xx", None]), f"n{rng.randint(0, 9)}", rng.choice(["sugar", "sugar", "base"]), line) for line in range(60)]
