@@ -59,3 +59,17 @@ def test_index_finds_the_nearest(spark):
     want = {(r.query, r.id) for r in R.top_k_many(vectors, asked, 5).collect()}
     print("recall", len(got & want), len(want))
     assert len(want) >= 5 and len(got & want) >= 0.9 * len(want) and len(got) <= len(want)
+
+
+def test_features_are_read_in_small_batches(spark):
+    import pyarrow.parquet as pq
+
+    from larder.operators import classify as L
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.md5(F.concat(F.col("id").cast("string"), F.lit("-"), k.cast("string")))), " ")
+    rows = L.counted(spark.range(600).repartition(1).select("id", words.alias("text")), "text", 200_000)
+    assert rows.count() == 600
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(k).num_rows for f in rows.inputFiles() for k in range(pq.ParquetFile(f.removeprefix("file://")).num_row_groups)]
+    most = rows.select("vector").first().vector.indices.size
+    print("rows of a group", max(sizes), "features of a row", most)
+    assert sum(sizes) == 600 and max(sizes) * most * 12 <= 24e6
