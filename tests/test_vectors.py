@@ -133,3 +133,34 @@ def test_halves(spark):
     assert H.top_k_halves(stored.limit(0), frame, query, 3).count() == 0
     with pytest.raises(Exception, match="16 bits"):
         table(spark, [[1e6]]).select(H.to_half(F.col("embedding"))).collect()
+
+
+def test_exact_search_holds_a_strip_of_products():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    vectors = rnd.normal(size=(6000, 16)).round(3)
+    group = pa.table({"id": np.arange(6000), "vector": vectors.tolist(), "asks": np.arange(6000) < 3000})
+    tracemalloc.start()
+    got = R._nearest(group, 5, True).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = [(q, 3000 + v) for q in range(3000) for v in np.argsort(-(unit[q] @ unit[3000:].T), kind="stable")[:5]]
+    print("MB", peak / 1e6)
+    assert list(zip(got["query"], got["id"], strict=True)) == want and peak < 40e6  # all products: 72 MB
+
+
+def test_equal_directions_are_ties_by_id(spark):
+    base = np.random.default_rng(5).normal(size=(3, 7))
+    vectors = table(spark, np.concatenate([base[k % 3] * (1 + k / 7) for k in range(300)]).reshape(300, 7))
+    got = {(r["query"], r["rank"]): r["id"] for r in R.top_k_many(vectors, asked_of(vectors), 6).collect()}
+    assert got == {(q, n + 1): i for q in range(0, 300, 20) for n, i in enumerate([i for i in range(q % 3, 300, 3) if i != q][:6])}
+
+
+def test_odd_vectors_are_left_out_or_far(spark):
+    vectors = table(spark, [[1, 0], None, [0, 0], [float("nan"), 1], [2, 0.1], [-1, 0]])
+    got = [(r["query"], r["id"], r["rank"]) for r in R.top_k_many(vectors, asked_of(vectors, "vec_id = 0"), 9).collect()]
+    assert sorted(got) == [(0, 2, 2), (0, 4, 1), (0, 5, 3)]
