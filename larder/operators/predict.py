@@ -54,21 +54,41 @@ class FakeLLM:
 
 
 class HashedNgrams:
-    """A deterministic embedding: hashed character trigrams, unit length."""
+    """A deterministic embedding: hashed character trigrams, unit length.
+
+    Texts are read as arrays of code points, PIECE trigrams at a time; each different trigram of a piece is hashed once,
+    and the last KNOWN of them are remembered.
+    """
+
+    PIECE, KNOWN = 1 << 17, 1 << 18
 
     def __init__(self, dimension: int = 64) -> None:
-        self.dimension = dimension
+        self.dimension, self.known = dimension, {}
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def _places(self, trigrams: np.ndarray) -> np.ndarray:
+        """The dimension that each trigram counts in, or that less the number of dimensions where it counts down."""
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
         out = []
-        for t in texts:
-            v = np.zeros(self.dimension)
-            padded = f"  {t.lower()} "
-            for k in range(len(padded) - 2):
-                h = int.from_bytes(hashlib.blake2b(padded[k : k + 3].encode(), digest_size=8).digest(), "big")
-                v[h % self.dimension] += 1 if h >> 63 else -1
-            out.append((v / (np.linalg.norm(v) or 1)).tolist())
-        return out
+        for t in trigrams.tolist():
+            if (place := self.known.get(t)) is None:
+                h = int.from_bytes(hashlib.blake2b((chr(t >> 42) + chr(t >> 21 & 0x1FFFFF) + chr(t & 0x1FFFFF)).encode(), digest_size=8).digest(), "big")
+                place = self.known[t] = h % self.dimension - (0 if h >> 63 else self.dimension)
+            out.append(place)
+        return np.array(out, np.int64)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        padded = [f"  {t.lower()} " for t in texts]
+        owner = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+        points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
+        counts = np.zeros(len(padded) * self.dimension)
+        for at in range(0, len(points) - 2, self.PIECE):
+            own, p = owner[at : at + self.PIECE + 2], points[at : at + self.PIECE + 2].astype(np.int64)
+            within = own[:-2] == own[2:]
+            trigrams, which = np.unique((p[:-2] << 42 | p[1:-1] << 21 | p[2:])[within], return_inverse=True)
+            places = self._places(trigrams)[which]
+            counts += np.bincount(own[:-2][within] * self.dimension + places % self.dimension, np.where(places < 0, -1.0, 1.0), len(counts))
+        return [(v / (np.linalg.norm(v) or 1)).tolist() for v in counts.reshape(len(padded), self.dimension)]
 
 
 def with_retry(call: Callable[[], Answer], tries: int = 3, backoff_s: float = 0.0) -> Answer:

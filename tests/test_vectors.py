@@ -164,3 +164,23 @@ def test_odd_vectors_are_left_out_or_far(spark):
     vectors = table(spark, [[1, 0], None, [0, 0], [float("nan"), 1], [2, 0.1], [-1, 0]])
     got = [(r["query"], r["id"], r["rank"]) for r in R.top_k_many(vectors, asked_of(vectors, "vec_id = 0"), 9).collect()]
     assert sorted(got) == [(0, 2, 2), (0, 4, 1), (0, 5, 3)]
+
+
+def test_each_trigram_is_hashed_once(monkeypatch):
+    import hashlib
+
+    from larder.operators import predict as U
+
+    def plain(text, dimension):
+        v, padded = np.zeros(dimension), f"  {text.lower()} "
+        for k in range(len(padded) - 2):
+            h = int.from_bytes(hashlib.blake2b(padded[k : k + 3].encode(), digest_size=8).digest(), "big")
+            v[h % dimension] += 1 if h >> 63 else -1
+        return (v / (np.linalg.norm(v) or 1)).tolist()
+
+    texts = ["", "a", "Two Words", "\u0130I\0", "\U0001f600\u65e5\u672c " * 40, "abcd " * 60_000]
+    want, calls, real = [plain(t, 24) for t in texts], [], hashlib.blake2b
+    monkeypatch.setattr(U.hashlib, "blake2b", lambda *a, **b: calls.append(a) or real(*a, **b))
+    model = U.HashedNgrams(24)
+    assert model.embed(texts) == want and model.embed(texts) == want and model.embed([]) == []
+    assert len(calls) == len({f"  {t.lower()} "[k : k + 3] for t in texts for k in range(len(t.lower()) + 1)})
