@@ -11,10 +11,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "code string, status string, skip_reason string, payload string, input_tokens int, output_tokens int, latency_s double"
+RESULT = {"code": pa.string(), "status": pa.string(), "skip_reason": pa.string(), "payload": pa.string(), "input_tokens": pa.int32(), "output_tokens": pa.int32(), "latency_s": pa.float64()}
+KINDS = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
+#: Rows whose texts and answers are held as Python objects at once.
+SLICE = 256
 
 
 class Unavailable(RuntimeError):
@@ -106,14 +110,14 @@ def with_retry(call: Callable[[], Answer], tries: int = 3, backoff_s: float = 0.
 def extract(rows: DataFrame, make_llm: Callable[[], StructuredLLM], template: str, schema: dict, id_col: str = "code", max_output_tokens: int = 1024, tries: int = 3) -> DataFrame:
     """One result per row of (id_col, text, is_usable, too_long): ok, unreadable, invalid or unavailable.
 
-    Rows that aren't usable are unreadable without a call, for the reason empty or too_long.
+    Rows that aren't usable are unreadable without a call, for the reason empty or too_long; their texts stay in the JVM.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         llm = make_llm()
-        for pdf in batches:
+        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             out = []
-            for code, text, usable, long in zip(pdf["code"], pdf["text"], pdf["is_usable"], pdf["too_long"], strict=True):
+            for code, text, usable, long in zip(*(part.column(c).to_pylist() for c in ("code", "text", "is_usable", "too_long")), strict=True):
                 if not usable:
                     out.append((code, "unreadable", "too_long" if long else "empty", None, 0, 0, 0.0))
                     continue
@@ -130,9 +134,10 @@ def extract(rows: DataFrame, make_llm: Callable[[], StructuredLLM], template: st
                 except (ValueError, AttributeError):
                     status, reason = ("unreadable", "output_limit") if answer.truncated else ("invalid", None)
                 out.append((code, status, reason, answer.text, answer.input_tokens, answer.output_tokens, took))
-            yield pd.DataFrame(out, columns=["code", "status", "skip_reason", "payload", "input_tokens", "output_tokens", "latency_s"])
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), RESULT.values(), strict=True)], names=list(RESULT))
 
-    return rows.select(F.col(id_col).cast("string").alias("code"), "text", "is_usable", "too_long").mapInPandas(run, RESULT)
+    asked = rows.select(F.col(id_col).cast("string").alias("code"), F.when(F.col("is_usable"), F.col("text")).alias("text"), "is_usable", "too_long")
+    return asked.mapInArrow(run, ", ".join(f"{name} {KINDS[kind]}" for name, kind in RESULT.items()))
 
 
 def embed(rows: DataFrame, make_model: Callable[[], EmbeddingModel], id_col: str = "code", text_col: str = "text", batch: int = 24) -> DataFrame:

@@ -73,3 +73,15 @@ def test_features_are_read_in_small_batches(spark):
     most = rows.select("vector").first().vector.indices.size
     print("rows of a group", max(sizes), "features of a row", most)
     assert sum(sizes) == 600 and max(sizes) * most * 12 <= 24e6
+
+
+def test_texts_that_no_model_reads_stay_in_the_jvm(spark):
+    from larder.operators import predict as U
+
+    rows = [(k, None if k % 7 == 0 else f"text {k}", None if k % 5 == 0 else k % 3 > 0, k % 2 > 0) for k in range(700)]
+    frame = spark.createDataFrame(rows, "code long, text string, is_usable boolean, too_long boolean").coalesce(1)
+    got = U.extract(frame, lambda: U.FakeLLM(lambda p: f'{{"unreadable": {"true" if p.endswith("1") else "false"}}}', failures=1), "{text}", {})
+    want = lambda text, usable, long: ("unreadable", "too_long" if long else "empty") if not usable else ("unreadable", "model_unreadable") if str(text).endswith("1") else ("ok", None)
+    assert {r.code: (r.status, r.skip_reason) for r in got.collect()} == {str(k): want(*row) for k, *row in rows}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN is_usable" in plan and "MapInArrow" in plan
