@@ -6,8 +6,9 @@ The dictionary is small as a rule (some hundred aliases of some dozen entities)
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator, Mapping
-from functools import lru_cache
+from collections import defaultdict
+from collections.abc import Collection, Iterable, Iterator, Mapping
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import ahocorasick
@@ -106,6 +107,39 @@ def grounded(names: Iterable[str], words: list[str], forms: Mapping[str, list[li
     return sorted([name for name, own in sorted(by_length.items(), key=lambda x: (spelt(x[1][0]) if x[1] else (0, []), x[0])) if any(map(taken, own))])
 
 
+def _sole(own: Iterable[str]) -> str | None:
+    """The alias of a name that has one of one word, nothing for a name without aliases, None for the others."""
+    some = list(filter(None, own))
+    return None if len(some) > 1 or (some and " " in some[0]) else (some or [""])[0]
+
+
+def plainly(names: Collection[str], words: list[str], sole: Mapping[str, str | None]) -> list[str] | None:
+    """``grounded`` for names of one alias of one word each, all different; None for others.
+
+    A word can be taken only by aliases that it starts with, longer ones first. So one that is an alias itself is free
+    when its own name chooses. An alias that stands only as the beginning of longer words has one of those, unless
+    longer aliases that begin with it take them all.
+    """
+    aliases = [sole[name] for name in names]
+    if None in aliases or len(set(aliases) - {""}) < len(aliases) - aliases.count(""):
+        return None
+    present = set(words)
+    out = [name for name, alias in zip(names, aliases, strict=True) if alias in present]
+    if len(out) < len(aliases):
+        ordered, others = sorted(present), sorted(aliases)
+        beginning = lambda alias, some: some[bisect_right(some, alias) : bisect_right(some, alias + chr(0x10FFFF))]
+        for name, alias in zip(names, aliases, strict=True):
+            if alias and alias not in present and (longer_words := set(beginning(alias, ordered))):
+                free = [w for w in words if w in longer_words] if (longer := beginning(alias, others)) else [alias]
+                for other in sorted(longer, key=lambda x: (-len(x), x)):
+                    taken = next((at for at, w in enumerate(free) if w.startswith(other)), None)
+                    if taken is not None:
+                        del free[taken]
+                if free:
+                    out.append(name)
+    return sorted(out)
+
+
 class Forms:
     """``grounded`` by one pass over a text, however many aliases there are.
 
@@ -115,13 +149,18 @@ class Forms:
 
     def __init__(self, forms: Mapping[str, Iterable[str]]) -> None:
         self.own = {name: sorted(filter(None, own), key=lambda alias: (-len(alias), alias)) for name, own in forms.items()}
-        self.automaton = ahocorasick.Automaton()
+        self.sole = {name: _sole(own) for name, own in self.own.items()}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
         for own in self.own.values():
             for alias in own:
                 for pattern in {alias, *alias.split(" ")}:
-                    self.automaton.add_word(" " + pattern, pattern)
-        if len(self.automaton):
-            self.automaton.make_automaton()
+                    out.add_word(" " + pattern, pattern)
+        if len(out):
+            out.make_automaton()
+        return out
 
     def _places(self, words: list[str], wanted: set[str]) -> dict[str, list[int]]:
         """The numbers of the words at which each wanted pattern begins, ascending."""
@@ -136,6 +175,8 @@ class Forms:
     def mentioned(self, names: Iterable[str], words: list[str]) -> list[str]:
         """Those of the names that the words mention, sorted."""
         own = {name: self.own[name] for name in set(names) if name in self.own}
+        if (plain := plainly(own, words, self.sole)) is not None:
+            return plain
         places = self._places(words, {pattern for aliases in own.values() for alias in aliases for pattern in (alias, *alias.split(" "))})
         free = bytearray(b"\1") * len(words)
 
@@ -152,10 +193,14 @@ class Forms:
 
 
 @lru_cache(1 << 16)
-def _key(name: str | None) -> str:
+def _spelt_out(name: str | None) -> str:
     return " ".join(key_words(name))
 
 
+def _key(name: str | None) -> str:
+    return name.lower() if name and name.isascii() and name.isalnum() else _spelt_out(name)
+
+
 def _lookups(aliases: DataFrame) -> DataFrame:
     """alias_key, lang, canonical_name, kind as ``resolve`` finds them; those for any language have a null lang."""
     loose = by_key(aliases).select("alias_key", F.lit(None).cast("string").alias("lang"), "canonical_name", "kind")
@@ -200,28 +245,50 @@ def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_c
 
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct (chunk, language, key) of rows that lie chunk by chunk; what a chunk's other rows ask again elsewhere does no harm."""
-    at, asked = None, set()
-    columns = ["chunk", "lang", "alias_key"]
+    at, asked = None, defaultdict(set)
+
+    def keys() -> Iterator[pd.DataFrame]:
+        for lang, names in asked.items():
+            yield pd.DataFrame({"chunk": at, "lang": lang, "alias_key": list(set(map(_key, names)))})
+
     for batch in batches:
         for chunk, lang, names in zip(batch["chunk"], batch["lang"], batch["names"], strict=True):
             if chunk != at:
-                if asked:
-                    yield pd.DataFrame([(at, *key) for key in asked], columns=columns)
-                at, asked = chunk, set()
-            if names is not None:
-                asked.update([(lang, key) for key in map(_key, names)])
-    if asked:
-        yield pd.DataFrame([(at, *key) for key in asked], columns=columns)
+                yield from keys()
+                at, asked = chunk, defaultdict(set)
+            if names is not None and len(names):
+                asked[lang].update(names)
+    yield from keys()
+
+
+class _Means(dict):
+    """What each name of one language means: the canonical name, or None. A name is brought to its key once."""
+
+    def __init__(self, by_key: Mapping[str, str]) -> None:
+        self.by_key = by_key
+
+    def __missing__(self, name: str | None) -> str | None:
+        self[name] = out = self.by_key.get(_key(name))
+        return out
 
 
 def _mentioned_of(rows: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's rows against the entries that its names met: one automaton, one pass over each text."""
-    means = {(lang, key): entry[0] for lang, key, entry in zip(met["lang"], met["alias_key"], met["entry"], strict=True)}
-    dictionary = Forms({entry[0]: list(entry[1:]) for entry in met["entry"]})
+    """A chunk's rows against the entries that its names met; a text that is not judged plainly gets an automaton of its own names."""
+    keys, forms = defaultdict(dict), {}
+    for lang, key, (name, *own) in zip(met["lang"], met["alias_key"], met["entry"], strict=True):
+        keys[lang][key] = name
+        forms[name] = own
+    means = {lang: _Means(by_key) for lang, by_key in keys.items()}
+    sole = {name: _sole(own) for name, own in forms.items()}
 
     def one(lang, names, text) -> list[str]:
-        own = (means.get((lang, key)) for key in map(_key, names if names is not None else []))
-        return dictionary.mentioned(filter(None, own), key_words(text))
+        if names is None or lang not in means:
+            return []
+        own = set(map(means[lang].__getitem__, names))
+        own.discard(None)
+        words = key_words(text) if own else []
+        plain = plainly(own, words, sole)
+        return Forms({name: forms[name] for name in own}).mentioned(own, words) if plain is None else plain
 
     return pd.DataFrame({"row": rows["row"], "grounded": pd.Series(list(map(one, rows["lang"], rows["names"], rows["text"])), index=rows.index, dtype=object)})
 
@@ -230,7 +297,7 @@ def ground_by_shuffle(rows: DataFrame, aliases: DataFrame, names_col: str = "nam
     """``ground`` for a dictionary of any size: each chunk of CHUNK rows gets that part of it that its own names ask for.
 
     The dictionary's side is made ready first (a row a key, with the aliases of what it means). A chunk asks once for
-    each different name, and judges its texts with one automaton of what comes back. Rows are numbered and written to
+    each different name, and judges its texts with what comes back. Rows are numbered and written to
     the shared folder first, as chunks are made of the numbers.
     """
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")

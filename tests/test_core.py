@@ -7,6 +7,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -169,6 +170,27 @@ def test_one_pass_grounds_as_alias_by_alias():
         assert A.Forms(forms).mentioned(names, words) == A.grounded(names, words, {name: [alias.split() for alias in own] for name, own in forms.items()})
 
 
+def test_plain_judging_grounds_as_alias_by_alias(monkeypatch):
+    rng = random.Random(8)
+    stem = lambda most: "".join(rng.choices("ab", k=rng.randint(1, most)))
+    monkeypatch.setattr(A.Forms, "_places", None)  # no automaton for such names
+    for _ in range(5000):
+        own = {stem(5) for _ in range(rng.randint(0, 9))}
+        forms = {f"n{k}": [alias] for k, alias in enumerate(sorted(own))} | {"n7": [""], "n8": []}
+        words, names = [stem(6) for _ in range(rng.randint(0, 12))], rng.sample([f"n{k}" for k in range(10)], 7)
+        assert A.Forms(forms).mentioned(names, words) == A.grounded(names, words, {name: [alias.split() for alias in some] for name, some in forms.items()})
+
+
+def test_a_chunk_of_plain_names_needs_no_automaton(monkeypatch):
+    monkeypatch.setattr(A, "ahocorasick", None)
+    words = ["molasses", "treacle", "sirup", "siruptopf", "Mélasse", "Honey"]
+    rows = pd.DataFrame({"chunk": 7, "row": range(3), "lang": ["", "", "de"], "names": [words, None, words], "text": ["Molasses and honey", "sirup", "Siruptopf, MELASSE"]})
+    asked = pd.concat(A._asked(iter([rows])))
+    assert sorted(zip(asked["chunk"], asked["lang"], asked["alias_key"], strict=True)) == sorted((7, lang, w.lower().replace("é", "e")) for lang in ("", "de") for w in words)
+    found = A._mentioned_of(rows, asked.assign(entry=[[k.upper(), k] for k in asked["alias_key"]]))
+    assert found["grounded"].tolist() == [["HONEY", "MOLASSES"], [], ["MELASSE", "SIRUPTOPF"]]
+
+
 def test_both_ways_of_grounding_agree(spark, monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 4)
     rng = random.Random(6)
