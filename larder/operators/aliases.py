@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Collection, Iterable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping
 from functools import cached_property, lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,20 +127,27 @@ def plainly(names: Collection[str], words: list[str], sole: Mapping[str, str | N
     if None in aliases or len(set(aliases) - {""}) < len(aliases) - aliases.count(""):
         return None
     present = set(words)
+    absent = {alias: name for name, alias in zip(names, aliases, strict=True) if alias and alias not in present}
     out = [name for name, alias in zip(names, aliases, strict=True) if alias in present]
-    if len(out) < len(aliases):
-        ordered, others = sorted(present), sorted(aliases)
-        beginning = lambda alias, some: some[bisect_right(some, alias) : bisect_right(some, alias + chr(0x10FFFF))]
-        for name, alias in zip(names, aliases, strict=True):
-            if alias and alias not in present and (longer_words := set(beginning(alias, ordered))):
-                free = [w for w in words if w in longer_words] if (longer := beginning(alias, others)) else [alias]
-                for other in sorted(longer, key=lambda x: (-len(x), x)):
-                    taken = next((at for at, w in enumerate(free) if w.startswith(other)), None)
-                    if taken is not None:
-                        del free[taken]
-                if free:
-                    out.append(name)
-    return sorted(out)
+    return sorted(out + [absent[alias] for alias in begun(absent, words, lambda: aliases)])
+
+
+def begun(absent: Collection[str], words: list[str], aliases: Callable[[], list[str]]) -> list[str]:
+    """Those of the absent aliases (no word is one) that some longer word is left for; aliases gives all that choose, of one word each."""
+    ordered, others, out = sorted(set(words)) if absent else [], None, []
+    beginning = lambda alias, some: some[bisect_left(some, alias) : bisect_right(some, alias + chr(0x10FFFF))]
+    for alias in absent:
+        if longer_words := set(beginning(alias, ordered)):
+            others = sorted(aliases()) if others is None else others
+            longer = [other for other in beginning(alias, others) if other != alias]
+            free = [w for w in words if w in longer_words] if longer else [alias]
+            for other in sorted(longer, key=lambda x: (-len(x), x)):
+                taken = next((at for at, w in enumerate(free) if w.startswith(other)), None)
+                if taken is not None:
+                    del free[taken]
+            if free:
+                out.append(alias)
+    return out
 
 
 class Forms:
@@ -243,54 +253,85 @@ def ground(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_c
     return rows.withColumn("grounded", mentioned(names_col, text_col, lang))
 
 
-def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct (chunk, language, key) of rows that lie chunk by chunk; what a chunk's other rows ask again elsewhere does no harm."""
     at, asked = None, defaultdict(set)
 
-    def keys() -> Iterator[pd.DataFrame]:
+    def keys() -> Iterator[pa.RecordBatch]:
         for lang, names in asked.items():
-            yield pd.DataFrame({"chunk": at, "lang": lang, "alias_key": list(set(map(_key, names)))})
+            found = pa.array(set(map(_key, names)), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array([lang] * len(found), pa.string()), found], names=["chunk", "lang", "alias_key"])
 
     for batch in batches:
-        for chunk, lang, names in zip(batch["chunk"], batch["lang"], batch["names"], strict=True):
+        place = np.stack([batch.column(c).dictionary_encode().indices.to_numpy() for c in ("chunk", "lang")])
+        starts = np.flatnonzero((np.diff(place, prepend=-1) != 0).any(axis=0)).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            chunk, lang = (batch.column(c)[start].as_py() for c in ("chunk", "lang"))
             if chunk != at:
                 yield from keys()
                 at, asked = chunk, defaultdict(set)
-            if names is not None and len(names):
-                asked[lang].update(names)
+            if len(names := batch.column("names").slice(start, end - start).flatten()):
+                asked[lang].update(names.unique().to_numpy(zero_copy_only=False))
     yield from keys()
 
 
-class _Means(dict):
-    """What each name of one language means: the canonical name, or None. A name is brought to its key once."""
+def _mentioned_of(rows: pa.Table, met: pa.Table) -> pa.Table:
+    """A chunk's rows against the entries that its names met.
 
-    def __init__(self, by_key: Mapping[str, str]) -> None:
-        self.by_key = by_key
-
-    def __missing__(self, name: str | None) -> str | None:
-        self[name] = out = self.by_key.get(_key(name))
-        return out
-
-
-def _mentioned_of(rows: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's rows against the entries that its names met; a text that is not judged plainly gets an automaton of its own names."""
-    keys, forms = defaultdict(dict), {}
-    for lang, key, (name, *own) in zip(met["lang"], met["alias_key"], met["entry"], strict=True):
-        keys[lang][key] = name
-        forms[name] = own
-    means = {lang: _Means(by_key) for lang, by_key in keys.items()}
-    sole = {name: _sole(own) for name, own in forms.items()}
-
-    def one(lang, names, text) -> list[str]:
-        if names is None or lang not in means:
-            return []
-        own = set(map(means[lang].__getitem__, names))
-        own.discard(None)
-        words = key_words(text) if own else []
-        plain = plainly(own, words, sole)
-        return Forms({name: forms[name] for name in own}).mentioned(own, words) if plain is None else plain
-
-    return pd.DataFrame({"row": rows["row"], "grounded": pd.Series(list(map(one, rows["lang"], rows["names"], rows["text"])), index=rows.index, dtype=object)})
+    Names and words are numbers here: a row's canonical names are held against the aliases that are words of its text.
+    Only aliases that are none (``begun``), and rows whose names have other aliases too, are judged one by one.
+    """
+    by_key, forms = defaultdict(dict), {}
+    entries = met["entry"].combine_chunks()
+    parts, ends = entries.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(entries).to_numpy()).tolist()
+    for lang, key, start, end in zip(met["lang"].to_numpy(), met["alias_key"].to_numpy(), [0, *ends], ends, strict=False):
+        by_key[lang][key] = name = parts[start]
+        forms[name] = parts[start + 1 : end].tolist()
+    canonical = sorted(forms)
+    number = {name: k for k, name in enumerate(canonical)}
+    sole = [_sole(forms[name]) for name in canonical]
+    aliases = sorted({alias for alias in sole if alias})
+    alias_at = {alias: k for k, alias in enumerate(aliases)} | {"": -1, None: -2}
+    alias_of = np.array([alias_at[alias] for alias in sole], np.int64)
+
+    lists = rows["names"].combine_chunks()
+    asked = lists.flatten().fill_null("").dictionary_encode()
+    row_of = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).fill_null(0).to_numpy())
+    which, keys = asked.indices.to_numpy(), [_key(name) for name in asked.dictionary.to_numpy(zero_copy_only=False)]
+    means, langs = np.full(len(which), -1), rows["lang"].to_numpy()
+    for lang, own in by_key.items():
+        at = np.array([number[own[key]] if key in own else -1 for key in keys], np.int64)
+        means = np.where((langs == lang)[row_of], at[which], means)
+
+    pairs = np.sort((row_of * len(canonical) + means)[means >= 0])
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    row, name = np.divmod(pairs, max(len(canonical), 1))
+    alias = alias_of[name]
+    named = np.bincount(row, minlength=len(rows))
+    words = [key_words(text) if n else [] for text, n in zip(rows["text"].to_numpy(), named.tolist(), strict=True)]
+    word = pc.index_in(pa.array(chain.from_iterable(words), pa.string()), value_set=pa.array(aliases, pa.string())).fill_null(-1).to_numpy()
+    word_row = np.repeat(np.arange(len(rows)), [len(w) for w in words])
+    stand = row * len(aliases) + alias
+    found = (alias >= 0) & np.isin(stand, (word_row * len(aliases) + word)[word >= 0])
+
+    other = np.bincount(row[alias == -2], minlength=len(rows)) > 0
+    shared = np.sort(stand[alias >= 0])
+    other[shared[1:][shared[1:] == shared[:-1]] // max(len(aliases), 1)] = True
+    ends = np.cumsum(named).tolist()
+    for r in np.unique(row[other[row] | ((alias >= 0) & ~found)]).tolist():
+        own = slice(ends[r] - int(named[r]), ends[r])
+        if other[r]:
+            names = [canonical[k] for k in name[own].tolist()]
+            here = set(Forms({k: forms[k] for k in names}).mentioned(names, words[r]))
+            found[own] = [k in here for k in names]
+        else:
+            absent = {aliases[alias[k]]: k for k in (own.start + np.flatnonzero((alias[own] >= 0) & ~found[own])).tolist()}
+            for here in begun(absent, words[r], lambda own=own: [aliases[k] for k in alias[own].tolist() if k >= 0]):
+                found[absent[here]] = True
+
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[found], minlength=len(rows)))]).astype(np.int32)
+    grounded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(canonical, pa.string()).take(pa.array(name[found])))
+    return pa.table({"row": rows["row"], "grounded": grounded})
 
 
 def ground_by_shuffle(rows: DataFrame, aliases: DataFrame, names_col: str = "names", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
@@ -307,11 +348,11 @@ def ground_by_shuffle(rows: DataFrame, aliases: DataFrame, names_col: str = "nam
     dictionary = means.groupBy("alias_key").agg(F.collect_list("m").alias("means"))
 
     texts = numbered.select(F.shiftright("__row", CHUNK.bit_length() - 1).alias("chunk"), F.col("__row").alias("row"), lang.alias("lang"), F.col(names_col).alias("names"), F.col(text_col).alias("text"))
-    asked = texts.select("chunk", "lang", "names").mapInPandas(_asked, "chunk long, lang string, alias_key string")
+    asked = texts.select("chunk", "lang", "names").mapInArrow(_asked, "chunk long, lang string, alias_key string")
     of_lang = F.filter("means", lambda m: m["lang"] == F.col("lang"))
     anywhere = F.filter("means", lambda m: m["lang"].isNull())
     met = asked.join(dictionary, "alias_key").withColumn("m", F.get(F.concat(of_lang, anywhere), F.lit(0))).where("m.kind = 'sugar'").select("chunk", "lang", "alias_key", "m.entry")
-    found = texts.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_mentioned_of, "row long, grounded array<string>")
+    found = texts.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_mentioned_of, "row long, grounded array<string>")
     return numbered.join(found, numbered["__row"] == found["row"], "left").select(*[numbered[c] for c in rows.columns], found["grounded"])
 
 

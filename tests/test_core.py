@@ -7,7 +7,7 @@ import json
 import random
 import time
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -184,11 +184,11 @@ def test_plain_judging_grounds_as_alias_by_alias(monkeypatch):
 def test_a_chunk_of_plain_names_needs_no_automaton(monkeypatch):
     monkeypatch.setattr(A, "ahocorasick", None)
     words = ["molasses", "treacle", "sirup", "siruptopf", "Mélasse", "Honey"]
-    rows = pd.DataFrame({"chunk": 7, "row": range(3), "lang": ["", "", "de"], "names": [words, None, words], "text": ["Molasses and honey", "sirup", "Siruptopf, MELASSE"]})
-    asked = pd.concat(A._asked(iter([rows])))
-    assert sorted(zip(asked["chunk"], asked["lang"], asked["alias_key"], strict=True)) == sorted((7, lang, w.lower().replace("é", "e")) for lang in ("", "de") for w in words)
-    found = A._mentioned_of(rows, asked.assign(entry=[[k.upper(), k] for k in asked["alias_key"]]))
-    assert found["grounded"].tolist() == [["HONEY", "MOLASSES"], [], ["MELASSE", "SIRUPTOPF"]]
+    rows = pa.table({"chunk": pa.array([7] * 3), "row": pa.array(range(3)), "lang": ["", "", "de"], "names": [words, None, words], "text": ["Molasses and honey", "sirup", "Siruptopf, MELASSE"]})
+    asked = pa.Table.from_batches(A._asked(iter(rows.combine_chunks().to_batches()))).to_pylist()
+    assert sorted((r["chunk"], r["lang"], r["alias_key"]) for r in asked) == sorted((7, lang, w.lower().replace("é", "e")) for lang in ("", "de") for w in words)
+    found = A._mentioned_of(rows, pa.Table.from_pylist([r | {"entry": [r["alias_key"].upper(), r["alias_key"]]} for r in asked]))
+    assert found["grounded"].to_pylist() == [["HONEY", "MOLASSES"], [], ["MELASSE", "SIRUPTOPF"]]
 
 
 def test_both_ways_of_grounding_agree(spark, monkeypatch):
