@@ -135,3 +135,23 @@ def test_blocks_are_searched_exactly_in_parts(monkeypatch):
     sims = np.round(np.einsum("ij,kj->ik", unit, unit), 9)
     want = sorted((ids[q], s, n) for q in range(400) for s, n in sorted(((-sims[q, n], ids[n]) for n in range(400) if ids[n] != ids[q]))[:5])
     assert sorted((q, -s, n) for q, s, n in zip(got["query"], got["__ranked"], got["id"], strict=True)) == want
+
+
+def test_features_are_those_of_hashing_and_written_once(spark):
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    from larder.operators import classify as L
+    from larder.session import shared_folder
+
+    texts = ["", " \t ", "a", "é", "\N{GRINNING FACE} ÀÉ İstanbul ΣΑΣ a\x0bb c", "ab ab AB", "the words of a text " * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "code long, text string").coalesce(2)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larder-core")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {p.getPath().getName() for p in store.listStatus(folder)} if store.exists(folder) else set()
+    had = tables()
+    got = {r.code: r.vector for r in L.counted(rows, "text", 5000).collect()}
+    assert [name.split("-")[0] for name in tables() - had] == ["features"]
+    for r in HashingTF(inputCol="grams", outputCol="vector", numFeatures=5000).transform(rows.withColumn("grams", L.char_wb(F.col("text")))).collect():
+        assert got[r.code].indices.tolist() == r.vector.indices.tolist()
+        assert np.allclose(got[r.code].values, 1 + np.log(r.vector.values), rtol=1e-14, atol=0)
