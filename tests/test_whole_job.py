@@ -155,3 +155,31 @@ def test_features_are_those_of_hashing_and_written_once(spark):
     for r in HashingTF(inputCol="grams", outputCol="vector", numFeatures=5000).transform(rows.withColumn("grams", L.char_wb(F.col("text")))).collect():
         assert got[r.code].indices.tolist() == r.vector.indices.tolist()
         assert np.allclose(got[r.code].values, 1 + np.log(r.vector.values), rtol=1e-14, atol=0)
+
+
+def test_the_regression_is_spark_s_own_and_leaves_nothing(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    from larder.operators import classify as L
+    from larder.session import shared_folder
+
+    words = ["sugar salt", "salz zucker", "sel sucre", "oil water", "wasser milch", "eau lait"]
+    texts = [(k, " ".join(words[(k * j + k // 3) % 6] for j in range(1 + k % 7)) if k % 11 else "", "abc"[(k % 3) * (k % 5 > 0)]) for k in range(120)]
+    rows = spark.createDataFrame(texts, "code long, text string, label_text string").coalesce(3)
+    model = L.fit(rows, "text", vocabulary=500, min_df=2)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larder-core")
+    assert not [p for p in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if p.getPath().getName().startswith("packed")]
+
+    plain = L.counted(L.balanced_weights(rows).withColumn("label", F.instr(F.lit("abc"), F.col("label_text")) - 1.0), "text", 500)
+    idf = IDF(inputCol="vector", outputCol="idf").fit(plain)
+    scale = np.where(np.array(idf.docFreq) >= 2, 1 + idf.idf.toArray(), 0.0)
+    unit = Normalizer(inputCol="weighed", outputCol="features").transform(ElementwiseProduct(inputCol="vector", outputCol="weighed", scalingVec=Vectors.dense(scale)).transform(plain))
+    spark_s = LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / 120, maxIter=400).fit(unit)
+    assert np.allclose(model.idf, scale)
+    assert np.abs(model.weights - spark_s.coefficientMatrix.toArray() * scale).max() < 0.01 * np.abs(model.weights).max()
+    assert np.abs(model.bias - spark_s.interceptVector.toArray()).max() < 0.02
+    got = {r.code: r.predicted for r in model.predict(rows).collect()}
+    assert got == {r.code: "abc"[int(r.prediction)] for r in spark_s.transform(unit).collect()}
